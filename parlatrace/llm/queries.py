@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from parlatrace import tables as t
 from parlatrace.functions.time import seconds_to_ms
 from parlatrace.llm.nearest import nearest_in_time
+from parlatrace.llm.split import limits_of, split_texts
+from parlatrace.plans.oracle import SPACE, unescape
 
 TOLERANCE_MS = 500
+FOUND_CHARS = 2000
 
 
 def _bounds(rows, no: str, start: Column, end: Column):
@@ -27,9 +30,26 @@ def p5_found(s, d):
     return _p5(s, d).select("job_id", "edge", F.col("query_no").cast("int").alias("seg_no"), F.col("match_no").cast("int").alias("turn_no"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found,)}
+def p4_pieces(s, d):
+    """All pieces of all transcripts, for each limit in characters."""
+    return split_texts(t.table(s, d, "payloads"), ["payload_id"], F.col("transcript_html"), limits_of(t.table(s, d, "size_limits")))
+
+
+def p4_found(s, d):
+    limits = [x for x in limits_of(t.table(s, d, "size_limits")) if x.capacity == FOUND_CHARS]
+    pieces = split_texts(t.table(s, d, "payloads"), ["payload_id"], F.col("transcript_html"), limits)
+    # the second piece tells that there is more than one, each payload has one such row
+    rows = pieces.where("piece_no = 1").select("payload_id", F.when(F.col("longest_run") > FOUND_CHARS, F.array(F.lit("oversized"), F.lit("unbroken"))).otherwise(F.array(F.lit("oversized"))).alias("kinds"))
+    return rows.select("payload_id", F.explode("kinds").alias("kind"))
+
+
+QUERIES = {f.__name__: f for f in (p4_pieces, p4_found, p5_found)}
+
+PLAIN = f"trim(regexp_replace({unescape("regexp_replace(transcript_html, '<[^>]+>', '', 'g')")}, '{SPACE}+', ' ', 'g'))"
 
 ORACLE = {
+    "p4_found": f"""with x as (select payload_id, {PLAIN} as t from payloads) select payload_id, 'oversized' as kind from x where length(t) > 2000
+ union all select payload_id, 'unbroken' from x where regexp_matches(t, '[^{SPACE[1:-1]}.!?。！？…]{{1000}}[^{SPACE[1:-1]}.!?。！？…]{{1000}}[^{SPACE[1:-1]}.!?。！？…]')""",
     "p5_found": """with s as (select distinct job_id, seg_no, unnest(['start', 'end']) as edge, unnest([cast(round_even(start_s * 1000.0, 0) as bigint), cast(round_even(end_s * 1000.0, 0) as bigint)]) as t from segments),
  u as (select distinct job_id, turn_no, unnest(['start', 'end']) as edge, unnest([start_ms, end_ms]) as v from turns)
  select s.job_id, s.edge, seg_no, first(turn_no order by abs(v - t), turn_no) as turn_no from s join u on s.job_id = u.job_id and s.edge = u.edge and v between t - 500 and t + 500 group by s.job_id, s.edge, seg_no""",
