@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlatrace import tables as t
 from parlatrace.functions.time import seconds_to_ms
 from parlatrace.llm.nearest import nearest_in_time
+from parlatrace.llm.speaker_turns import speaker_turns
 from parlatrace.llm.split import limits_of, split_texts
 from parlatrace.plans.oracle import SPACE, unescape
 
@@ -30,6 +31,15 @@ def p5_found(s, d):
     return _p5(s, d).select("job_id", "edge", F.col("query_no").cast("int").alias("seg_no"), F.col("match_no").cast("int").alias("turn_no"))
 
 
+def p1_turns(s, d):
+    """The turns with their text."""
+    return speaker_turns(t.table(s, d, "payloads"))
+
+
+def p1_found(s, d):
+    return speaker_turns(t.table(s, d, "payloads")).select("payload_id", "start_ms", "speaker").distinct()
+
+
 def p4_pieces(s, d):
     """All pieces of all transcripts, for each limit in characters."""
     return split_texts(t.table(s, d, "payloads"), ["payload_id"], F.col("transcript_html"), limits_of(t.table(s, d, "size_limits")))
@@ -43,7 +53,7 @@ def p4_found(s, d):
     return rows.select("payload_id", F.explode("kinds").alias("kind"))
 
 
-QUERIES = {f.__name__: f for f in (p4_pieces, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_turns, p1_found, p4_pieces, p4_found, p5_found)}
 
 PLAIN = f"trim(regexp_replace({unescape("regexp_replace(transcript_html, '<[^>]+>', '', 'g')")}, '{SPACE}+', ' ', 'g'))"
 

@@ -94,8 +94,8 @@ def split_texts(df: DataFrame, keys: list[str], source: Column, limits: list[Lim
     """(keys.., n_chars, longest_run, limit_id, piece_no, start_pos, end_pos, cut, text): the pieces of each text for each limit.
 
     source is HTML, whose text is taken first (tags dropped, references decoded, white space collapsed), or plain text. Pieces
-    are numbered from 0 in order; positions count characters of the text; end_pos is exclusive; longest_run is given where a
-    cut lies within a word (else null: then no run is longer than a piece). Other columns are ignored, so their names can't
+    are numbered from 0 in order; positions count characters of the text; end_pos is exclusive; longest_run is given for texts that
+    were cut (else null). Other columns are ignored, so their names can't
     clash. A null or empty text gives no piece. Repeated rows give their pieces again.
     """
     inner = T.StructType([T.StructField("n_chars", T.IntegerType()), T.StructField("longest_run", T.IntegerType()), T.StructField("pieces", PIECES)])
@@ -106,12 +106,12 @@ def split_texts(df: DataFrame, keys: list[str], source: Column, limits: list[Lim
         rows = []
         for raw in texts:
             text = (plain_text(raw) if is_html else raw) or ""
-            pieces, inside = [], False
+            pieces, several = [], False
             for limit_id, capacity, overlap in fixed if text else ():
                 for no, (a, b, kind) in enumerate(bisect(text, capacity, overlap)):
                     pieces.append({"limit_id": limit_id, "piece_no": no, "start_pos": a, "end_pos": b, "cut": kind, "text": text[a:b]})
-                    inside |= kind in ("forced", "clause")
-            rows.append((len(text), longest_run(text) if inside else None, pieces))
+                    several |= no > 0
+            rows.append((len(text), longest_run(text) if several else None, pieces))
         return pd.DataFrame(rows, columns=["n_chars", "longest_run", "pieces"]).astype({"longest_run": "Int32"})
 
     out = df.select(*keys, cut_up(source).alias("_r")).where("_r is not null")
