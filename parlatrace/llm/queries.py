@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parlatrace import tables as t
 from parlatrace.functions.time import seconds_to_ms
+from parlatrace.llm import pii
 from parlatrace.llm.nearest import nearest_in_time
 from parlatrace.llm.speaker_turns import speaker_turns
 from parlatrace.llm.split import limits_of, split_texts
@@ -14,6 +15,7 @@ from parlatrace.plans.oracle import SPACE, unescape
 
 TOLERANCE_MS = 500
 FOUND_CHARS = 2000
+SECRET = "change this key"
 
 
 def _bounds(rows, no: str, start: Column, end: Column):
@@ -40,6 +42,34 @@ def p1_found(s, d):
     return speaker_turns(t.table(s, d, "payloads")).select("payload_id", "start_ms", "speaker").distinct()
 
 
+def _p2(s, d):
+    payloads = t.table(s, d, "payloads").select("payload_id", "transcript_html")
+    return payloads, pii.frequent_words(payloads, "transcript_html")
+
+
+def p2_mentions(s, d):
+    """Every mention with its surrogate."""
+    payloads, frequent = _p2(s, d)
+    return pii.with_surrogates(pii.personal_data(payloads, "payload_id", "transcript_html", frequent), "payload_id", SECRET)
+
+
+def p2_found(s, d):
+    rows = p2_mentions(s, d).where("surrogate is not null and surrogate <> ''")
+    return rows.select("payload_id", "kind", "start_pos")
+
+
+def p2_redacted(s, d):
+    """The transcripts with placeholders."""
+    payloads, frequent = _p2(s, d)
+    return pii.redacted(payloads, "payload_id", "transcript_html", pii.placeholders_of(t.table(s, d, "pii_kinds")), frequent)
+
+
+def p2_pseudonymised(s, d):
+    """The transcripts with surrogates."""
+    payloads, frequent = _p2(s, d)
+    return pii.pseudonymised(payloads, "payload_id", "transcript_html", SECRET, frequent)
+
+
 def p4_pieces(s, d):
     """All pieces of all transcripts, for each limit in characters."""
     return split_texts(t.table(s, d, "payloads"), ["payload_id"], F.col("transcript_html"), limits_of(t.table(s, d, "size_limits")))
@@ -53,7 +83,7 @@ def p4_found(s, d):
     return rows.select("payload_id", F.explode("kinds").alias("kind"))
 
 
-QUERIES = {f.__name__: f for f in (p1_turns, p1_found, p4_pieces, p4_found, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_turns, p1_found, p2_mentions, p2_found, p2_redacted, p2_pseudonymised, p4_pieces, p4_found, p5_found)}
 
 PLAIN = f"trim(regexp_replace({unescape("regexp_replace(transcript_html, '<[^>]+>', '', 'g')")}, '{SPACE}+', ' ', 'g'))"
 
