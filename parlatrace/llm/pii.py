@@ -214,6 +214,7 @@ def with_surrogates(found: DataFrame, key: str, secret: str, rounds: int = ROUND
     def identity(kind: pd.Series, value: pd.Series) -> pd.Series:
         return pd.Series([v.strip(".").lower() if k == "name" else identity_of(k, v) for k, v in zip(kind, value, strict=True)])
 
+    found = cut(found, "mentions")  # finding them is the dear part, and both branches below read them
     parts = found.select(key, "kind", "start_pos", "end_pos", "value", F.explode("words").alias("w")).select(key, "kind", "start_pos", "end_pos", "value", "w.*")
     things = parts.where(F.length("identity") > 1).groupBy("kind", "identity").agg(F.min("word").alias("word"), F.min("gender").alias("gender"))
     real = things.select("kind", F.col("identity").alias("made"), F.lit(True).alias("occurs"))

@@ -173,32 +173,33 @@ _END = r"(?=\s*(?:[.,;:!?…\n/]|$))"
 _TITLE = r"(?:doctor|dr\.?|mr\.?|mrs\.?|ms\.?|miss|professor|prof\.?|sir|madam|herr|herrn|frau|fräulein|señora?|señorita|sr\.?a?\.?|don|doña|madame|monsieur|mme|signora?|dottoress?a?|senhora?|mevrouw|meneer|fru)"
 _KIN = r"(?:neighbou?r|colleague|boss|uncle|aunt|cousin|brother|sister|friend|wife|husband|son|daughter|nachbar(?:in)?|kollege|kollegin|chef(?:in)?|onkel|tante|bruder|schwester|vecin[oa]|herman[oa]|ti[oa]|prim[oa]|jef[ea]|voisine?|collègue)"
 _DOES = r"(?:signed|took over|takes over|saw|said|says|asked|told|wrote|called|agreed|answered|replied|explained|mentioned|thinks|hat|hatte|sagte|meinte|fragte|unterschrieb|firmó|dijo|dice|preguntó|llamó|escribió|a dit|a signé)"
+#: Patterns, each with strings of which at least one is in any text that it matches: most texts are spared most patterns.
 _PERSONS = [
-    re.compile(p, re.I)
-    for p in (
+    (re.compile(p, re.I), tuple(w.replace("_", " ") for w in needs.split()))
+    for p, needs in (
         # presented or addressed
-        rf"\b(?:interview|talk|conversation|meeting|gespräch|entrevista|entretien) (?:with|mit|con|a|avec) (?P<n>{_ONE}){_END}",
-        rf"\b(?:thanks|thank you|danke|gracias|merci|hello|hallo|hola)(?:,| )+(?P<n>{_ONE}){_END}",
-        rf"{_START}(?P<n>{_ONE}), (?:could|can|would|will|please|do you|kannst|können|könnten|puede|podría|pourriez)\b",
-        rf"\b(?:speaking is|my name is|this is|here is|i am called|ich heiße|mein name ist|hier spricht|me llamo|mi nombre es|je m['’]appelle) (?P<n>{_ONE})(?=,| (?:speaking|good|from|and)\b|\s*[.!?\n]|$)",
+        (rf"\b(?:interview|talk|conversation|meeting|gespräch|entrevista|entretien) (?:with|mit|con|a|avec) (?P<n>{_ONE}){_END}", "interview talk conversation meeting gespräch entrevista entretien"),
+        (rf"\b(?:thanks|thank you|danke|gracias|merci|hello|hallo|hola)(?:,| )+(?P<n>{_ONE}){_END}", "thank danke gracias merci hello hallo hola"),
+        (rf"{_START}(?P<n>{_ONE}), (?:could|can|would|will|please|do you|kannst|können|könnten|puede|podría|pourriez)\b", ",_could ,_can ,_would ,_will ,_please ,_do_you ,_kann ,_könn ,_puede ,_podr ,_pourr"),
+        (rf"\b(?:speaking is|my name is|this is|here is|i am called|ich heiße|mein name ist|hier spricht|me llamo|mi nombre es|je m['’]appelle) (?P<n>{_ONE})(?=,| (?:speaking|good|from|and)\b|\s*[.!?\n]|$)", "speaking_is name_is this_is here_is i_am_called ich_heiße hier_spricht me_llamo nombre_es m'appelle m’appelle"),
         # titles and relations
-        rf"\b{_TITLE} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|will|can|ist|war|wird|es|fue|está|and|und|y)\b|\s*[.,;:!?\n]|$)",
-        rf"\b(?:my|our|your|his|her|their|mein|meine|meiner|unser|unsere|mi|su|nuestr[oa]|mon|ma) {_KIN} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|ist|war|es|fue)\b|\s*[.,;:!?\n]|$)",
+        (rf"\b{_TITLE} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|will|can|ist|war|wird|es|fue|está|and|und|y)\b|\s*[.,;:!?\n]|$)", "doctor dr._ dr_ mr._ mr_ mrs ms._ ms_ miss prof sir_ madam herr frau fräulein señor sr._ sra don_ doña monsieur mme signor dottor senhor mevrouw meneer fru_"),
+        (rf"\b(?:my|our|your|his|her|their|mein|meine|meiner|unser|unsere|mi|su|nuestr[oa]|mon|ma) {_KIN} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|ist|war|es|fue)\b|\s*[.,;:!?\n]|$)", "neighb colleague boss uncle aunt cousin brother sister friend wife husband son_ daughter nachbar kolleg chef onkel tante bruder schwester vecin herman tio_ tía tío tia_ prim jef voisin collègue"),
         # pointed at
-        rf"\b(?:that|it|this) (?:was|is) (?P<n>{_ONE})(?= on the (?:line|phone)\b|['’]s (?:idea|fault|turn|plan|job|suggestion|decision|voice|number|key|desk)\b| (?:who|again)\b)",
-        rf"\bdas (?:war|ist)(?: damals| doch| wohl| also)* (?P<n>{_ONE})(?=,? (?:wenn|falls|glaube|oder)\b| am (?:telefon|apparat)\b)",
-        rf"\b(?:era|fue) (?P<n>{_ONE})(?= (?:al|quien)\b)",
+        (rf"\b(?:that|it|this) (?:was|is) (?P<n>{_ONE})(?= on the (?:line|phone)\b|['’]s (?:idea|fault|turn|plan|job|suggestion|decision|voice|number|key|desk)\b| (?:who|again)\b)", "on_the_line on_the_phone 's_ ’s_ _who _again"),
+        (rf"\bdas (?:war|ist)(?: damals| doch| wohl| also)* (?P<n>{_ONE})(?=,? (?:wenn|falls|glaube|oder)\b| am (?:telefon|apparat)\b)", "das_war das_ist"),
+        (rf"\b(?:era|fue) (?P<n>{_ONE})(?= (?:al|quien)\b)", "era_ fue_"),
         # asked, told
-        rf"\b(?:i|we|he|she|they|you) (?:have |had )?(?:asked|told|called|met|thanked|warned|phoned|invited|rang) (?P<n>{_ONE})(?= (?:about|to|for|if|whether|that|yesterday|again)\b|\s*[.!?\n]|$)",
-        rf"\b(?:ich|wir|er|sie) (?:habe|haben|hat) (?P<n>{_ONE})(?= (?:danach |das |schon |gestern )?(?:gefragt|angerufen|getroffen|gebeten|gesehen|eingeladen)\b)",
-        rf"\ble (?:pregunté|dije|pedí|conté) a (?P<n>{_ONE})(?= (?:y|que|si|por)\b|\s*[.,!?\n]|$)",
+        (rf"\b(?:i|we|he|she|they|you) (?:have |had )?(?:asked|told|called|met|thanked|warned|phoned|invited|rang) (?P<n>{_ONE})(?= (?:about|to|for|if|whether|that|yesterday|again)\b|\s*[.!?\n]|$)", "asked told called met_ thanked warned phoned invited rang"),
+        (rf"\b(?:ich|wir|er|sie) (?:habe|haben|hat) (?P<n>{_ONE})(?= (?:danach |das |schon |gestern )?(?:gefragt|angerufen|getroffen|gebeten|gesehen|eingeladen)\b)", "gefragt angerufen getroffen gebeten gesehen eingeladen"),
+        (rf"\ble (?:pregunté|dije|pedí|conté) a (?P<n>{_ONE})(?= (?:y|que|si|por)\b|\s*[.,!?\n]|$)", "le_pregunté le_dije le_pedí le_conté"),
         # doing
-        rf"\b(?:later|then|afterwards|finally|yesterday),? (?P<n>{_ONE})(?= {_DOES}\b)",
-        rf"{_START}(?P<n>{_ONE})(?= {_DOES} (?:the|it|us|me|that|over|das|la|el)\b)",
-        rf"\b(?:nobody|no one|everyone|everybody|anyone|niemand|nadie|todos) (?:but|except|außer|salvo|menos) (?P<n>{_ONE})(?= (?:had|has|knew|knows|was|came|hatte|tenía|sabía)\b|\s*[.,!?\n]|$)",
-        rf"\b(?:we|they|i) had (?P<n>{_ONE})(?= in the (?:room|office|house|studio|meeting)\b)",
-        rf"\band (?:later|then|afterwards|also) (?P<n>{_ONE})(?=\s*[.!?\n/]|$)",
-        rf"{_START}(?P<n>{_ONE}) and (?P<m>{_ONE})(?= (?:were|are|have|had) both\b)",
+        (rf"\b(?:later|then|afterwards|finally|yesterday),? (?P<n>{_ONE})(?= {_DOES}\b)", "later then after finally yesterday"),
+        (rf"{_START}(?P<n>{_ONE})(?= {_DOES} (?:the|it|us|me|that|over|das|la|el)\b)", "signed took_over takes_over _saw _said _says asked told wrote called agreed answered replied explained mentioned thinks _hat hatte sagte meinte fragte unterschrieb firmó dijo dice preguntó llamó escribió a_dit a_signé"),
+        (rf"\b(?:nobody|no one|everyone|everybody|anyone|niemand|nadie|todos) (?:but|except|außer|salvo|menos) (?P<n>{_ONE})(?= (?:had|has|knew|knows|was|came|hatte|tenía|sabía)\b|\s*[.,!?\n]|$)", "_but_ _except_ _außer_ _salvo_ _menos_"),
+        (rf"\b(?:we|they|i) had (?P<n>{_ONE})(?= in the (?:room|office|house|studio|meeting)\b)", "in_the_room in_the_office in_the_house in_the_studio in_the_meeting"),
+        (rf"\band (?:later|then|afterwards|also) (?P<n>{_ONE})(?=\s*[.!?\n/]|$)", "and_later and_then and_after and_also"),
+        (rf"{_START}(?P<n>{_ONE}) and (?P<m>{_ONE})(?= (?:were|are|have|had) both\b)", "_both"),
     )
 ]
 #: In text without punctuation a name at a sentence's edge is bounded on one side only; on the other it goes on as long as the words aren't frequent ones.
@@ -310,8 +311,9 @@ def spans(text: str, frequent: frozenset[str] = frozenset()) -> list[tuple[str,
         kind = _number_kind(text, m.start(), m.end(), None, count)
         if kind:
             found.append((2, kind, m.start(), m.end()))
-    for pattern in _PERSONS:
-        for m in pattern.finditer(text):
+    low = text.lower()
+    for pattern, needs in _PERSONS:
+        for m in pattern.finditer(text) if any(w in low for w in needs) else ():
             for g in ("n", "m") if "m" in pattern.groupindex else ("n",):
                 a, b = m.span(g)
                 if _named(text[a:b]) and not _PLACE_AFTER.match(text, b):
