@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parlatrace import tables as t
 from parlatrace.functions.time import seconds_to_ms
-from parlatrace.llm import pii
+from parlatrace.llm import lang_id, pii
 from parlatrace.llm.nearest import nearest_in_time
 from parlatrace.llm.speaker_turns import speaker_turns
 from parlatrace.llm.split import limits_of, split_texts
@@ -83,7 +83,24 @@ def p4_found(s, d):
     return rows.select("payload_id", F.explode("kinds").alias("kind"))
 
 
-QUERIES = {f.__name__: f for f in (p1_turns, p1_found, p2_mentions, p2_found, p2_redacted, p2_pseudonymised, p4_pieces, p4_found, p5_found)}
+def _p8(s, d):
+    documents = t.table(s, d, "documents").select("doc_id", "text", "lang")
+    names = lang_id.language_names(t.table(s, d, "languages"))
+    model = lang_id.fit_model(documents, t.table(s, d, "lang_samples"), names)
+    return lang_id.language_stretches(documents, model, carry={"label": lang_id.label_code(F.col("lang"), names)})
+
+
+def p8_stretches(s, d):
+    """Every stretch of every document with its confidence."""
+    return _p8(s, d)
+
+
+def p8_found(s, d):
+    rows = _p8(s, d).where((F.col("n_stretches") > 1) | F.col("label").isNull() | (F.col("label") != F.col("lang")))
+    return rows.where("lang is not null").select("doc_id", "start_pos", "lang").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_turns, p1_found, p2_mentions, p2_found, p2_redacted, p2_pseudonymised, p4_pieces, p4_found, p5_found, p8_stretches, p8_found)}
 
 PLAIN = f"trim(regexp_replace({unescape("regexp_replace(transcript_html, '<[^>]+>', '', 'g')")}, '{SPACE}+', ' ', 'g'))"
 
