@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from parlatrace import tables as t
 from parlatrace.functions.time import seconds_to_ms
-from parlatrace.llm import lang_id, pii
+from parlatrace.llm import lang_id, mixing, packing, pii
 from parlatrace.llm.nearest import nearest_in_time
 from parlatrace.llm.speaker_turns import speaker_turns
 from parlatrace.llm.split import limits_of, split_texts
+from parlatrace.llm.tokens import text_class, token_count
 from parlatrace.plans.oracle import SPACE, unescape
+from parlatrace.session import cut
 
 TOLERANCE_MS = 500
 FOUND_CHARS = 2000
@@ -83,6 +85,31 @@ def p4_found(s, d):
     return rows.select("payload_id", F.explode("kinds").alias("kind"))
 
 
+def _sized(s, d):
+    """Documents with their size, once per query: counting the tokens is the dear part and the sizes are read more than once."""
+    rows = t.table(s, d, "documents").select("doc_id", mixing.source_name(F.col("source")).alias("source"), text_class(F.col("text")).alias("cluster"), token_count(F.col("text")).alias("n_tokens"))
+    return cut(rows, "sized")
+
+
+def p6_containers(s, d):
+    return packing.fill(_sized(s, d), packing.containers_of(t.table(s, d, "size_limits")))
+
+
+def p6_fill(s, d):
+    """How full the containers of each capacity are."""
+    return packing.fill_report(p6_containers(s, d))
+
+
+def p7_selection(s, d):
+    return mixing.mixed(_sized(s, d), t.table(s, d, "source_targets"))
+
+
+def p7_shares(s, d):
+    """Target and actual share of each source of each mix."""
+    sized, targets = _sized(s, d), t.table(s, d, "source_targets")
+    return mixing.shares(sized, targets, mixing.mixed(sized, targets))
+
+
 def _p8(s, d):
     documents = t.table(s, d, "documents").select("doc_id", "text", "lang")
     names = lang_id.language_names(t.table(s, d, "languages"))
@@ -100,7 +127,7 @@ def p8_found(s, d):
     return rows.where("lang is not null").select("doc_id", "start_pos", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_turns, p1_found, p2_mentions, p2_found, p2_redacted, p2_pseudonymised, p4_pieces, p4_found, p5_found, p8_stretches, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_turns, p1_found, p2_mentions, p2_found, p2_redacted, p2_pseudonymised, p4_pieces, p4_found, p5_found, p6_containers, p6_fill, p7_selection, p7_shares, p8_stretches, p8_found)}
 
 PLAIN = f"trim(regexp_replace({unescape("regexp_replace(transcript_html, '<[^>]+>', '', 'g')")}, '{SPACE}+', ' ', 'g'))"
 
