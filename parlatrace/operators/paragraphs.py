@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlatrace.functions.text import anchor_name, html_escape
 from parlatrace.functions.time import ms_to_str, pause_text
 from parlatrace.operators.sequence import carried, sharded, within
+from parlatrace.session import cut
 
 ALL = (Window.unboundedPreceding, 0)
 
@@ -16,6 +17,10 @@ def with_gaps(segments: DataFrame) -> DataFrame:
     """Segments (job_id, seg_no, start_ms, end_ms, ..) with prev_end_ms (0 before the first) and gap_ms, which is negative where they overlap."""
     rows = sharded(segments, "job_id", "seg_no")
     rows = carried(rows, "job_id", [F.max_by("end_ms", "seg_no").alias("last_end")], lambda w: [F.last("last_end").over(w).alias("carry_end")])
+    return _gap_columns(rows)
+
+
+def _gap_columns(rows: DataFrame) -> DataFrame:
     prev = F.coalesce(F.lag("end_ms").over(within("job_id", "seg_no")), F.col("carry_end"))
     rows = rows.withColumn("first_segment", prev.isNull()).withColumn("prev_end_ms", F.coalesce(prev, F.lit(0)).cast("bigint"))
     return rows.withColumn("gap_ms", F.col("start_ms") - F.col("prev_end_ms")).drop("carry_end")
@@ -45,14 +50,17 @@ def speaker_actions(attributed: DataFrame, jobs: DataFrame) -> DataFrame:
     heard = attributed.join(option, "job_id", "left").withColumn(
         "heard", F.when(F.col("new_speaker") != "", F.concat(F.when(F.col("overlapping") & F.coalesce("allow", F.lit(True)), "//").otherwise(""), F.col("new_speaker")))
     )
-    rows = with_gaps(heard.drop("allow", "overlapping", "new_speaker"))
     window = within("job_id", "seg_no")
-    rows = carried(rows, "job_id", [F.max_by("heard", F.when(F.col("heard").isNotNull(), F.col("seg_no"))).alias("last_heard")], lambda w: [F.last("last_heard", True).over(w).alias("carry_speaker")])
+    rows = sharded(heard.drop("allow", "overlapping", "new_speaker"), "job_id", "seg_no")
+    summary = [F.max_by("end_ms", "seg_no").alias("last_end"), F.max_by("heard", F.when(F.col("heard").isNotNull(), F.col("seg_no"))).alias("last_heard")]
+    rows = carried(rows, "job_id", summary, lambda w: [F.last("last_end").over(w).alias("carry_end"), F.last("last_heard", True).over(w).alias("carry_speaker")])
+    rows = _gap_columns(rows)
     rows = rows.withColumn("speaker", F.coalesce(F.last("heard", True).over(window.rowsBetween(*ALL)), "carry_speaker", F.lit("")))
     rows = rows.withColumn("before", F.when(F.row_number().over(window) == 1, F.coalesce("carry_speaker", F.lit(""))).otherwise(F.lag("speaker").over(window)))
     changed = F.col("heard").isNotNull() & (F.col("heard") != F.col("before"))
     entered = F.when(changed & F.startswith("heard", F.lit("//")), F.col("before"))
-    rows = rows.withColumn("changed", changed).withColumn("entered_from", entered)
+    # every further summary reads its rows twice: from here on they are read from storage
+    rows = cut(rows.withColumn("changed", changed).withColumn("entered_from", entered).drop("carry_speaker"), "speakers").repartition("job_id", "shard")
     rows = carried(rows, "job_id", [F.max_by("entered_from", F.when(F.col("entered_from").isNotNull(), F.col("seg_no"))).alias("last_entered")], lambda w: [F.last("last_entered", True).over(w).alias("carry_entered")])
     rows = rows.withColumn("prev_speaker", F.coalesce(F.last("entered_from", True).over(window.rowsBetween(*ALL)), "carry_entered", F.lit("")))
     was = F.startswith("before", F.lit("//"))

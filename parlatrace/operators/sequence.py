@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 4096
 
 
-def sharded(df: DataFrame, key: str, order: str, width: int = SHARD_ROWS) -> DataFrame:
+def sharded(df: DataFrame, key: str, order: str, width: int | None = None) -> DataFrame:
     """df with a column shard, laid out by (key, shard). Every later step reads this one shuffle."""
-    return df.withColumn("shard", F.floor(F.col(order) / F.lit(width))).repartition(key, "shard")
+    return df.withColumn("shard", F.floor(F.col(order) / F.lit(width or SHARD_ROWS))).repartition(key, "shard")
 
 
 def within(key: str, order: str) -> WindowSpec:

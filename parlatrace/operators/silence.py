@@ -41,7 +41,7 @@ def snap(segments: DataFrame, pauses: DataFrame, extend_s: float = 0.2, bucket_s
     low, high = F.least("start_s", "end_s"), F.greatest("start_s", "end_s")
     s = seg.select("job_id", "seg_no", "start_s", "end_s", F.explode(F.sequence(first(low), first(high))).alias("bucket"))
     meet = (
-        (s.job_id == p.p_job) & (s.bucket == p.p_bucket) & (p.pause_end > s.start_s) & (p.pause_start <= s.end_s)
+        (s.job_id == p.p_job) & (s.bucket == p.p_bucket) & (p.pause_end > F.least(s.start_s, s.end_s)) & (p.pause_start <= s.end_s)
         & (s.bucket == F.greatest(F.floor(F.least(s.start_s, s.end_s) / F.lit(bucket_s)), F.floor(p.pause_start / F.lit(bucket_s))))
     )
     near = s.join(p, meet, "left").groupBy("job_id", "seg_no").agg(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlatrace.operators.groups import whole_groups
-from parlatrace.operators.sequence import SHARD_ROWS, sharded
+from parlatrace.operators.sequence import sharded
 
 _KEYS = ["job_id", "shard"]
 
@@ -76,7 +76,7 @@ def _passing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.loc[keep, ["job_id", "seg_no", "start_ms"]]
 
 
-def spaced(rows: DataFrame, width: int = SHARD_ROWS) -> DataFrame:
+def spaced(rows: DataFrame, width: int | None = None) -> DataFrame:
     """The rows (job_id, seg_no, start_ms) whose time is shown.
 
     rows: (job_id, seg_no, start_ms, forced, eligible, interval_ms). In order of seg_no, a forced row always passes; an eligible
@@ -131,7 +131,7 @@ def _steps(least: int):
     return run
 
 
-def stepped(rows: DataFrame, least: int = 10, width: int = SHARD_ROWS) -> DataFrame:
+def stepped(rows: DataFrame, least: int = 10, width: int | None = None) -> DataFrame:
     """The progress updates (job_id, seg_no, value) that differ by at least `least` from the last one let through (0 before the first).
 
     value is in thousandths, 0 to 1000, so that a shard's function is a table of 1,001 states.

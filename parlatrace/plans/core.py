@@ -14,7 +14,7 @@ from parlatrace.functions.names import unique_names
 from parlatrace.operators import files, lookups, paragraphs, queue, silence, throttle, vectors
 from parlatrace.operators.attribution import attribute, named_turns, timed_segments
 from parlatrace.operators.periods import periods_and_gaps
-from parlatrace.session import cut
+from parlatrace.session import cut, spread
 from parlatrace.sources import readers, writers
 from parlatrace.streaming import live
 
@@ -42,7 +42,7 @@ def _shown(s: SparkSession, d: str, actions: DataFrame) -> DataFrame:
 
 
 def document(s: SparkSession, d: str) -> DataFrame:
-    actions = cut(_actions(s, d), "actions")  # read by both the throttle and the rendering
+    actions = cut(_actions(s, d), "actions")  # read by the throttle and by the rendering
     return paragraphs.document_rows(actions, t.table(s, d, "jobs"), _shown(s, d, actions))
 
 
@@ -179,11 +179,11 @@ def escaped_texts(s, d):
 
 def html_plain(s, d):
     text = F.col("plain")
-    return t.table(s, d, "payloads").select("payload_id", H.html_to_plain("transcript_html").alias("plain")).select("payload_id", F.length(text).alias("n_chars"), F.md5(text).alias("digest"))
+    return spread(t.table(s, d, "payloads")).select("payload_id", H.html_to_plain("transcript_html").alias("plain")).select("payload_id", F.length(text).alias("n_chars"), F.md5(text).alias("digest"))
 
 
 def html_blocks(s, d):
-    return t.table(s, d, "payloads").select("payload_id", H.html_to_blocks("transcript_html").alias("text"))
+    return spread(t.table(s, d, "payloads")).select("payload_id", H.html_to_blocks("transcript_html").alias("text"))
 
 
 def html_anchors(s, d):

@@ -85,7 +85,7 @@ ORACLE = {
  select job_id, count(*) as pauses, cast(sum(gap_ms) as bigint) as silent_ms, max(gap_ms) as longest_ms from x group by 1""",
     "pause_snap": f"""with {SEG}, ch as (select distinct job_id, chunk_no, start_sample, end_sample from speech_chunks where start_sample is not null and end_sample is not null),
  pa as (select job_id, end_sample / 16000.0 - 0.2 as ps, coalesce(lead(start_sample) over (partition by job_id order by chunk_no) / 16000.0, case when not isnan(duration_s) then duration_s end) + 0.2 as pe from ch left join jobs using (job_id)),
- near as (select g.job_id, g.seg_no, g.start_s, g.end_s, list({{'s': ps, 'e': pe}} order by ps, pe) filter (ps is not null) as l from seg g left join pa on pa.job_id = g.job_id and pe > ps and pe > g.start_s and ps <= g.end_s
+ near as (select g.job_id, g.seg_no, g.start_s, g.end_s, list({{'s': ps, 'e': pe}} order by ps, pe) filter (ps is not null) as l from seg g left join pa on pa.job_id = g.job_id and pe > ps and pe > least(g.start_s, g.end_s) and ps <= g.end_s
  where g.start_s is not null and g.end_s is not null group by all),
  mv as (select *, case when l is null then {{'s': start_s, 'e': end_s}} else list_reduce(l, lambda b, x: {{'s': case when x.s <= b.e and b.s > x.s and b.s < x.e then x.e - 0.2 else b.s end, 'e': case when x.s <= b.e and b.e > x.s and b.e < x.e then x.s + 0.2 else b.e end}}, {{'s': start_s, 'e': end_s}}) end as m from near)
  select job_id, seg_no, start_s, end_s, m.s as snapped_start, m.e as snapped_end from mv""",

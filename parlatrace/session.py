@@ -40,3 +40,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/parlatrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores. For work in Python on tables of few files, which would leave cores idle; larger tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

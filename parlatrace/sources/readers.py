@@ -17,12 +17,12 @@ MESSAGES = f"type string, level string, msg string, pct double, ok boolean, segm
 
 def html_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, html) of the .html files of a folder, by path; not of its subfolders."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.html").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")).orderBy("path")
+    return spark.read.option("pathGlobFilter", "*.html").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("html")).orderBy("path")
 
 
 def note_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of Markdown and suffix-less files of a folder, each once, by path."""
-    return notes(spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return notes(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
 def audio_files(spark: SparkSession, folder: str) -> DataFrame:

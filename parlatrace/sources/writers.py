@@ -69,9 +69,9 @@ def rendered(document: DataFrame, heads: DataFrame, kind: str) -> DataFrame:
 
 
 def write_transcripts(document: DataFrame, heads: DataFrame, kind: str, folder: str) -> None:
-    """One folder per job with its parts in order; Spark's commit replaces a folder as a whole."""
+    """One folder per job with its parts in order; Spark's commit replaces a folder as a whole. A line break follows each part, which no format minds."""
     parts = rendered(document, heads, kind).repartitionByRange("job_id", "part").sortWithinPartitions("job_id", "part")
-    parts.select(F.col("body").alias("value"), "job_id").write.mode("overwrite").partitionBy("job_id").option("lineSep", "").text(folder)
+    parts.select(F.col("body").alias("value"), "job_id").write.mode("overwrite").partitionBy("job_id").text(folder)
 
 
 def payloads_json(payloads: DataFrame) -> DataFrame:
