@@ -26,7 +26,7 @@ _HEAD = re.compile(
     re.I,
 )
 _NO_SPEECH = re.compile(r"^\s*(?:WEBVTT.*|[WEBVTwebvt]{3,6}|NOTE\b.*|#+ [\d\s./:_-]*|[\d\s:.,>-]*)$")
-_END = re.compile(rf"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？]+[」』”]?")
+_END = re.compile(rf"[.!?…]+[\"'”’»)\]]*(?=\s|$)|(?<=[^\W\d_A-Z])[.!?]+(?=[¿¡]?[A-ZÀ-ÖØ-ÞА-Я][^\W\d_A-ZÀ-ÖØ-ÞА-Я])|[。！？]+[」』”]?")
 _QUOTED = re.compile(r"\"[^\"\n]{1,60}\"|“[^”\n]{1,60}”|„[^“”\n]{1,60}[“”]|«[^»\n]{1,60}»|「[^」\n]{1,60}」")
 _SOUND = re.compile(r"(?:u+h+m*|u+m+|e+r+m*|a+h+|h+m+|m+h+m+|m{2,}|ä+h+m*|ö+h+m*|e+h+m*|e+u+h+|h+e+u+|ø+h*m*|å+h+|huh|hum|えーと|えっと|あのー?|うーん|э+м*|ну)$", re.I)
 

@@ -203,7 +203,8 @@ def with_surrogates(found: DataFrame, key: str, secret: str, rounds: int = ROUND
     Words of names get surrogates of their own, so that a full name and its parts stay recognisable as one person (coreference); other
     kinds get one per thing, however it is written. Different things keep different surrogates, and none gets a value that
     occurs in the data: surrogates are held against each other and against all values, and those that collide are drawn anew,
-    `rounds` times; what still collides gets a numbered placeholder, which can't. Only these exceptions are joined back.
+    `rounds` times; what still collides gets a numbered placeholder, which can't. A name taken for a woman's once is one
+    throughout. Only these exceptions are joined back.
     """
 
     @F.pandas_udf(T.StringType())
@@ -216,7 +217,7 @@ def with_surrogates(found: DataFrame, key: str, secret: str, rounds: int = ROUND
 
     found = cut(found, "mentions")  # finding them is the dear part, and both branches below read them
     parts = found.select(key, "kind", "start_pos", "end_pos", "value", F.explode("words").alias("w")).select(key, "kind", "start_pos", "end_pos", "value", "w.*")
-    things = parts.where(F.length("identity") > 1).groupBy("kind", "identity").agg(F.min("word").alias("word"), F.min("gender").alias("gender"))
+    things = parts.where(F.length("identity") > 1).groupBy("kind", "identity").agg(F.min("word").alias("word"), F.min("gender").alias("gender"), (F.min("gender") < F.max("gender")).alias("doubtful"))
     real = things.select("kind", F.col("identity").alias("made"), F.lit(True).alias("occurs"))
     state = things.withColumn("attempt", F.lit(0))
     group = Window.partitionBy("kind", "made").orderBy("attempt", "identity")
@@ -224,14 +225,14 @@ def with_surrogates(found: DataFrame, key: str, secret: str, rounds: int = ROUND
         drawn = state.withColumn("made", identity("kind", draw("kind", "word", "gender", "attempt")))
         drawn = drawn.withColumn("rank", F.row_number().over(group)).join(real, ["kind", "made"], "left")
         again = (F.col("rank") > 1) | F.col("occurs").isNotNull()
-        state = drawn.select("kind", "identity", "word", "gender", (F.col("attempt") + F.when(again, 1).otherwise(0)).alias("attempt"))
+        state = drawn.select("kind", "identity", "word", "gender", "doubtful", (F.col("attempt") + F.when(again, 1).otherwise(0)).alias("attempt"))
     last = state.withColumn("made", identity("kind", draw("kind", "word", "gender", "attempt"))).withColumn("rank", F.row_number().over(group)).join(real, ["kind", "made"], "left")
     clash = (F.col("rank") > 1) | F.col("occurs").isNotNull()
-    exceptions = last.where((F.col("attempt") > 0) | clash).select(
-        "kind", "identity", "attempt", F.when(clash, F.concat(F.lit("["), F.upper("kind"), F.lit(" "), F.substring(F.sha2(F.concat_ws("|", "kind", "identity", F.lit(secret)), 256), 1, 12), F.lit("]"))).alias("numbered")
+    exceptions = last.where((F.col("attempt") > 0) | clash | F.col("doubtful")).select(
+        "kind", "identity", "attempt", F.col("gender").alias("agreed"), F.when(clash, F.concat(F.lit("["), F.upper("kind"), F.lit(" "), F.substring(F.sha2(F.concat_ws("|", "kind", "identity", F.lit(secret)), 256), 1, 12), F.lit("]"))).alias("numbered")
     )
     parts = parts.join(exceptions, ["kind", "identity"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
-    parts = parts.withColumn("s", F.coalesce("numbered", draw("kind", "word", "gender", "attempt")))
+    parts = parts.withColumn("s", F.coalesce("numbered", draw("kind", "word", F.coalesce("agreed", "gender"), "attempt")))
     whole = parts.groupBy(key, "start_pos").agg(
         F.first("kind").alias("kind"), F.first("end_pos").alias("end_pos"), F.first("value").alias("value"), F.array_sort(F.collect_list(F.struct("at", F.length("word").alias("n"), "s"))).alias("p")
     )

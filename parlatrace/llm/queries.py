@@ -13,7 +13,7 @@ from parlatrace.llm.speaker_turns import speaker_turns
 from parlatrace.llm.split import limits_of, split_texts
 from parlatrace.llm.tokens import text_class, token_count
 from parlatrace.plans.oracle import SPACE, unescape
-from parlatrace.session import cut
+from parlatrace.session import cut, spread
 
 TOLERANCE_MS = 500
 FOUND_CHARS = 2000
@@ -45,7 +45,7 @@ def p1_found(s, d):
 
 
 def _p2(s, d):
-    payloads = t.table(s, d, "payloads").select("payload_id", "transcript_html")
+    payloads = spread(t.table(s, d, "payloads").select("payload_id", "transcript_html"))
     return payloads, pii.frequent_words(payloads, "transcript_html")
 
 
@@ -74,12 +74,12 @@ def p2_pseudonymised(s, d):
 
 def p4_pieces(s, d):
     """All pieces of all transcripts, for each limit in characters."""
-    return split_texts(t.table(s, d, "payloads"), ["payload_id"], F.col("transcript_html"), limits_of(t.table(s, d, "size_limits")))
+    return split_texts(spread(t.table(s, d, "payloads").select("payload_id", "transcript_html")), ["payload_id"], F.col("transcript_html"), limits_of(t.table(s, d, "size_limits")))
 
 
 def p4_found(s, d):
     limits = [x for x in limits_of(t.table(s, d, "size_limits")) if x.capacity == FOUND_CHARS]
-    pieces = split_texts(t.table(s, d, "payloads"), ["payload_id"], F.col("transcript_html"), limits)
+    pieces = split_texts(spread(t.table(s, d, "payloads").select("payload_id", "transcript_html")), ["payload_id"], F.col("transcript_html"), limits)
     # the second piece tells that there is more than one, each payload has one such row
     rows = pieces.where("piece_no = 1").select("payload_id", F.when(F.col("longest_run") > FOUND_CHARS, F.array(F.lit("oversized"), F.lit("unbroken"))).otherwise(F.array(F.lit("oversized"))).alias("kinds"))
     return rows.select("payload_id", F.explode("kinds").alias("kind"))
@@ -87,7 +87,7 @@ def p4_found(s, d):
 
 def _sized(s, d):
     """Documents with their size, once per query: counting the tokens is the dear part and the sizes are read more than once."""
-    rows = t.table(s, d, "documents").select("doc_id", mixing.source_name(F.col("source")).alias("source"), text_class(F.col("text")).alias("cluster"), token_count(F.col("text")).alias("n_tokens"))
+    rows = spread(t.table(s, d, "documents")).select("doc_id", mixing.source_name(F.col("source")).alias("source"), text_class(F.col("text")).alias("cluster"), token_count(F.col("text")).alias("n_tokens"))
     return cut(rows, "sized")
 
 
@@ -111,7 +111,7 @@ def p7_shares(s, d):
 
 
 def _p8(s, d):
-    documents = t.table(s, d, "documents").select("doc_id", "text", "lang")
+    documents = spread(t.table(s, d, "documents").select("doc_id", "text", "lang"))
     names = lang_id.language_names(t.table(s, d, "languages"))
     model = lang_id.fit_model(documents, t.table(s, d, "lang_samples"), names)
     return lang_id.language_stretches(documents, model, carry={"label": lang_id.label_code(F.col("lang"), names)})
