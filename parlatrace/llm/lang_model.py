@@ -188,8 +188,9 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, rounds: int
         place = np.full(len(texts), -1)
         place[mine] = np.arange(len(mine))
         pick = place[rows] >= 0
-        dense = np.zeros((len(mine), DIMENSIONS), dtype=np.float32)
-        dense[place[rows[pick]], features[pick]] = x[pick]
+        used, column = np.unique(features[pick], return_inverse=True)  # the features this language has at all
+        dense = np.zeros((len(mine), len(used)), dtype=np.float32)
+        dense[place[rows[pick]], column] = x[pick]
         c = dense[np.linspace(0, len(mine) - 1, min(centroids, len(mine))).astype(int)]
         for _ in range(rounds):
             near = (dense @ _unit_rows(c).T).argmax(axis=1)
@@ -199,7 +200,9 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, rounds: int
         c = c[share >= min(MIN_SHARE, share.max())]
         near = (dense @ _unit_rows(c).T).argmax(axis=1)
         c = np.stack([dense[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
-        centers.append(_unit_rows(c))
+        wide = np.zeros((len(c), DIMENSIONS), dtype=np.float32)
+        wide[:, used] = _unit_rows(c)
+        centers.append(wide)
         owner += [k] * len(c)
     model = Model(languages, np.array(owner), idf, np.ascontiguousarray(np.concatenate(centers).T), 0.0, 40.0)
     tests = [t for t, h in zip(texts, held, strict=True) if h]
