@@ -26,11 +26,12 @@ def speaker_of(label: Column) -> Column:
     """
     flat = F.trim(F.lower(F.translate(label, _WIDE, _PLAIN)))
     core = F.trim(F.regexp_replace(flat, r"^/+\s*\[?|^\[|[\s:\]/]+$", ""))
-    digits = F.replace(F.regexp_extract(core, NUMBERED, 1), F.lit("o"), F.lit("0"))
-    word = F.regexp_extract(core, WORDED, 1)
-    in_words = F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), word) - 1
-    number = F.when(digits != "", F.regexp_replace(digits, "^0+(?=.)", "")).when(in_words >= 0, in_words.cast("string"))
-    return F.concat(F.lit("S"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
+    # each step reads the one before once, since an expression that is read twice is worked out twice
+    digits = F.regexp_replace(F.translate(F.regexp_extract(core, NUMBERED, 1), "o", "0"), "^0+(?=.)", "")
+    numbered = F.regexp_replace(F.concat(F.lit("S0"), digits), "^S0(?=[0-9]{2})", "S")
+    table = F.array(*[F.lit(w) for w in NUMBER_WORDS])
+    worded = F.format_string("S%02d", F.nullif(F.array_position(table, F.regexp_extract(core, WORDED, 1)), F.lit(0)) - 1)
+    return F.coalesce(F.nullif(numbered, F.lit("S0")), F.when(core.rlike(WORDED), F.nullif(worded, F.lit("Snull"))))
 
 
 def speaker_of_sql(label: str) -> str:
