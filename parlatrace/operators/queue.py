@@ -89,6 +89,25 @@ def option_line(jobs: DataFrame) -> DataFrame:
     )
 
 
+def job_summary(jobs: DataFrame) -> DataFrame:
+    """A few lines of text per job for display: output name, clip, language, speakers, pause and marks for what is on; what is null has no line."""
+    from parlatrace.functions.time import ms_to_str
+    from parlatrace.operators.files import base_name
+
+    sign = lambda c: F.when(F.col(c), "✓").otherwise("✗")
+    line = lambda name, value: F.concat(F.lit(name + ": "), value)
+    pause = F.coalesce(F.get(F.array(*[F.lit(o) for o in PAUSE_OPTIONS]), F.when(F.col("pause").between(0, 3), F.col("pause"))), F.col("pause").cast("string"))
+    return jobs.select(
+        "job_id",
+        F.concat_ws(
+            "\n",
+            line("Transcript", base_name(F.col("transcript_file"))), line("Start", F.when(F.col("start_ms") > 0, ms_to_str(F.col("start_ms"))).otherwise("00:00:00")),
+            line("Stop", F.when(F.col("stop_ms") > 0, ms_to_str(F.col("stop_ms"))).otherwise("end")), line("Language", F.col("language_name")), line("Pause", pause),
+            line("Speakers", F.col("speaker_detection")), line("Overlapping", sign("overlapping")), line("Timestamps", sign("timestamps")),
+        ).alias("summary"),
+    )
+
+
 def transitions(events: DataFrame, key: str, at: str, status: str) -> DataFrame:
     """The state of each key after its events, and how many of its changes aren't allowed ones.
 

@@ -10,6 +10,7 @@ from parlatrace.functions import html as H
 from parlatrace.functions import text as X
 from parlatrace.functions import time as M
 from parlatrace.functions.labels import speaker_of
+from parlatrace.functions.markdown import markdown_to_html
 from parlatrace.functions.names import unique_names
 from parlatrace.operators import files, lookups, paragraphs, queue, silence, throttle, vectors
 from parlatrace.operators.attribution import attribute, named_turns, timed_segments
@@ -140,6 +141,14 @@ def option_line(s, d):
     return queue.option_line(t.table(s, d, "jobs"))
 
 
+def job_summaries(s, d):
+    return queue.job_summary(t.table(s, d, "jobs"))
+
+
+def markdown_html(s, d):
+    return spread(t.table(s, d, "documents").where("doc_kind = 'md'").select("doc_id", "text")).select("doc_id", markdown_to_html("text").alias("html"))
+
+
 def state_changes(s, d):
     return queue.transitions(t.table(s, d, "jobs").where("transcript_file is not null"), "transcript_file", "ordinal", "status")
 
@@ -292,7 +301,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pause_gaps, pause_rows, pause_summary, pause_snap, speaker_attribution, speaker_actions, speaker_stats, document_rows, paragraph_texts, vtt_cues, rendered_html, timestamp_throttle, progress_map, progress_throttle,
-        queue_summary, next_job, last_finished, running_jobs, output_conflicts, effective_options, option_line, state_changes, job_span, language_codes, speaker_labels, clock_times, file_times, anchor_codec, escaped_texts,
+        queue_summary, next_job, last_finished, running_jobs, output_conflicts, effective_options, option_line, job_summaries, markdown_html, state_changes, job_span, language_codes, speaker_labels, clock_times, file_times, anchor_codec, escaped_texts,
         html_plain, html_blocks, html_anchors, text_durations, size_durations, document_dates, text_chunks, untranscribed, recordings, first_of_name, payload_outcomes, payload_bodies, output_names, clipped, calendar_match, vector_topk, versions,
         gpu_errors, stream_gaps, batch_bursts, stream_bursts, p3_found, p3_coverage,
     )

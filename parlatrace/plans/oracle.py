@@ -112,6 +112,9 @@ ORACLE = {
     "effective_options": f"with {OPTIONS} select * from opts",
     "option_line": f"""select job_id, concat_ws(' | ', case when start_ms > 0 then 'Start ' || replace({clock("start_ms")}, ':', '꞉') end, case when stop_ms > 0 then 'Stop ' || replace({clock("stop_ms")}, ':', '꞉') end,
  'Language ' || language_name, 'Speakers ' || speaker_detection, 'Overlapping ' || overlapping, 'Timestamps ' || timestamps, 'Pause ' || pause) as options from jobs""",
+    "job_summaries": f"""select job_id, concat_ws(chr(10), 'Transcript: ' || regexp_extract(transcript_file, '([^/]*)$', 1), 'Start: ' || case when start_ms > 0 then {clock("start_ms")} else '00:00:00' end,
+ 'Stop: ' || case when stop_ms > 0 then {clock("stop_ms")} else 'end' end, 'Language: ' || language_name, 'Pause: ' || coalesce(case pause when 0 then 'none' when 1 then '1sec+' when 2 then '2sec+' when 3 then '3sec+' end, cast(pause as varchar)),
+ 'Speakers: ' || speaker_detection, 'Overlapping: ' || case when overlapping then '✓' else '✗' end, 'Timestamps: ' || case when timestamps then '✓' else '✗' end) as summary from jobs""",
     "state_changes": """with x as (select transcript_file, ordinal, lower(trim(status)) as s, lag(lower(trim(status))) over (partition by transcript_file order by ordinal) as p,
  list_position(['waiting', 'audio_conversion', 'speaker_identification', 'transcription', 'finished'], lower(trim(status))) as n from jobs where transcript_file is not null),
  y as (select *, list_position(['waiting', 'audio_conversion', 'speaker_identification', 'transcription', 'finished'], p) as m from x)

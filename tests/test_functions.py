@@ -120,3 +120,17 @@ def test_html(spark):
     assert one(spark, H.html_to_plain, "string", "<p>a&nbsp;<b>b</b>\n c&lt;d</p>", "", None) == ["a b c<d", "", None]
     assert one(spark, H.html_to_blocks, "string", "<html><head><title>t</title></head><body><p> one <b>two</b></p><p>three<br>four</p></body></html>", "a &amp; b", "", None) == ["\none two\n\nthree\nfour\n", "a & b", "", None]
     assert one(spark, H.html_to_blocks, "string", "<div><ul><li>a<li>b</ul></div></p>")[0].split() == ["a", "b"]
+
+
+def test_markdown(spark):
+    from parlatrace.functions.markdown import markdown_to_html, to_html
+
+    source = "# Title #\n\nOne *two* **three** `a<b` [x](http://y)\nnext & line\n- a\n  more\n- b\n\n1. c\n\n> quoted\n\n---\n```py\nx < 1\n\n```\n| h | i |\n|---|:-:|\n| 1 | **2** |\n| 3 |\n"
+    want = [
+        "<h1>Title</h1>", '<p>One <em>two</em> <strong>three</strong> <code>a&lt;b</code> <a href="http://y">x</a>\nnext &amp; line</p>', "<ul>\n<li>a\nmore</li>\n<li>b</li>\n</ul>", "<ol>\n<li>c</li>\n</ol>",
+        "<blockquote>\n<p>quoted</p>\n</blockquote>", "<hr />", '<pre><code class="language-py">x &lt; 1\n\n</code></pre>',
+        "<table>\n<thead>\n<tr><th>h</th><th>i</th></tr>\n</thead>\n<tbody>\n<tr><td>1</td><td><strong>2</strong></td></tr>\n<tr><td>3</td><td></td></tr>\n</tbody>\n</table>",
+    ]
+    assert to_html(source) == "\n".join(want)
+    assert one(spark, markdown_to_html, "string", "", None, "a\r\nb", "```\nopen") == ["", None, "<p>a\nb</p>", "<pre><code>open\n</code></pre>"]
+    assert to_html("word " * 200_000).startswith("<p>word")
