@@ -85,14 +85,14 @@ def p4_found(s, d):
     return rows.select("payload_id", F.explode("kinds").alias("kind"))
 
 
-def _sized(s, d):
+def _sized(s, d, *more: Column):
     """Documents with their size, once per query: counting the tokens is the dear part and the sizes are read more than once."""
-    rows = spread(t.table(s, d, "documents")).select("doc_id", mixing.source_name(F.col("source")).alias("source"), text_class(F.col("text")).alias("cluster"), token_count(F.col("text")).alias("n_tokens"))
+    rows = spread(t.table(s, d, "documents")).select("doc_id", mixing.source_name(F.col("source")).alias("source"), token_count(F.col("text")).alias("n_tokens"), *more)
     return cut(rows, "sized")
 
 
 def p6_containers(s, d):
-    return packing.fill(_sized(s, d), packing.containers_of(t.table(s, d, "size_limits")))
+    return packing.fill(_sized(s, d, text_class(F.col("text")).alias("cluster")), packing.containers_of(t.table(s, d, "size_limits")))
 
 
 def p6_fill(s, d):
