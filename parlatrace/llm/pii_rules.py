@@ -107,19 +107,25 @@ _MAIL = re.compile(rf"(?<![\w@.+])(?:{_LOCAL}{_DOT}){{0,3}}{_LOCAL}{_AT}{_LABEL}
 
 #: What a mail address, or a street with its number, can't be without; the longer patterns are tried around it only.
 _MAIL_SIGN = re.compile(r"@|[(\[]at[)\]]|\bat\b(?=\s+\S+(?:\s+\S+){0,3}?\s*(?:\bdot\b|[(\[]dot|\.\w))|\barroba\b|\bät\b", re.I)
-_STREET_SIGN = re.compile(r"(?:straße|strasse|str\.|gasse|allee|weg|platz|ufer|damm|ring|steig|pfad|straat|laan|plein|gracht|kade|gatan|vägen|gade|vej) \d", re.I)
+_STREET_SUFFIXES = tuple("straße strasse str. gasse allee weg platz ufer damm ring steig pfad straat laan plein gracht kade gatan vägen gade vej".split())
+_BEFORE_NUMBER = re.compile(r"(?<=[^\W\d]) \d|(?<=\.) \d")
 
 
-def _around(pattern: re.Pattern, sign: re.Pattern, text: str, before: int, after: int) -> list[re.Match]:
-    """Matches of pattern that cover a match of sign, of a length that is bounded on both sides of it."""
+def _street_signs(text: str) -> list[tuple[int, int]]:
+    """Where a number follows a word that ends like a street's name."""
+    return [m.span() for m in _BEFORE_NUMBER.finditer(text) if text[max(0, m.start() - 8) : m.start()].lower().endswith(_STREET_SUFFIXES)]
+
+
+def _around(pattern: re.Pattern, signs: list[tuple[int, int]], text: str, before: int, after: int) -> list[re.Match]:
+    """Matches of pattern that cover one of the signs, of a length that is bounded on both sides of it."""
     found, end = [], 0
-    for m in sign.finditer(text):
-        if m.start() < end:
+    for a, b in signs:
+        if a < end:
             continue
-        at = max(end, m.start() - before)
-        while (x := pattern.search(text, at, min(len(text), m.end() + after))) and x.end() <= m.start():
+        at = max(end, a - before)
+        while (x := pattern.search(text, at, min(len(text), b + after))) and x.end() <= a:
             at = x.end()
-        if x and x.start() <= m.start():
+        if x and x.start() <= a:
             found.append(x)
             end = x.end()
     return found
@@ -288,10 +294,11 @@ def _number_kind(text: str, a: int, b: int, kind: str | None, count: int) -> str
 def spans(text: str, frequent: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the personal data in a plain text, in order, none within another. frequent: words too common for a name."""
     found: list[tuple[int, str, int, int]] = []
-    found += [(0, "email", m.start(), m.end()) for m in _around(_MAIL, _MAIL_SIGN, text, 120, 200)]
+    found += [(0, "email", m.start(), m.end()) for m in _around(_MAIL, [m.span() for m in _MAIL_SIGN.finditer(text)], text, 120, 200)]
+    street_signs = _street_signs(text)
     for pattern in _ADDRESSES:
         by_sign = pattern in (_ADDRESSES[1], _ADDRESSES[5])
-        for m in _around(pattern, _STREET_SIGN, text, 60, 12) if by_sign else pattern.finditer(text):
+        for m in _around(pattern, street_signs, text, 60, 12) if by_sign else pattern.finditer(text):
             name = [w.lower() for w in m["name"].split()]
             street = name[1:] if pattern is not _ADDRESSES[0] else name
             if pattern is _ADDRESSES[0] and any(w in FUNCTION_WORDS and w not in ("old", "new", "first", "second", "third") for w in street):
