@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlatrace.llm.pii_rules import SMALL_NUMBERS, Mention, mentions
+from parlatrace.llm.pii_rules import SMALL_NUMBERS, Mention, NameWords, bounded_only, mentions
 from parlatrace.session import cut
 
 SHARE = 5000
@@ -33,13 +33,14 @@ _STREET_KINDS = frozenset("street str st road rd avenue ave lane ln close cresce
 
 
 def frequent_words(df: DataFrame, source: str, share: int = SHARE) -> frozenset[str]:
-    """The lower-case words that make up more than one in `share` of all words of the texts, all documents counted.
+    """The lower-case words that make up more than one in `share` of all words of the texts, a text that comes again counted once.
 
     By arithmetic there are fewer than `share` of them, which bounds what comes to the driver. Words counted fewer than ten
     times are left out, so that in a small table names don't count as frequent.
     """
     words = F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(source), "<[^>]*>", " ")), F.lit(r"[\p{L}]+"), 0))
-    counts = cut(df.where(F.col(source).isNotNull()).select(words.alias("word")).groupBy("word").count(), "words")
+    texts = df.where(F.col(source).isNotNull()).select(source).dropDuplicates()
+    counts = cut(texts.select(words.alias("word")).groupBy("word").count(), "words")
     total = counts.agg(F.sum("count")).first()[0] or 0
     rows = counts.where((F.col("count") * share > total) & (F.col("count") >= 10)).select("word").collect()
     return frozenset(r["word"] for r in rows)
@@ -183,7 +184,7 @@ def _as_row(source: str, m: Mention) -> dict:
     return {"kind": m.kind, "start_pos": m.start, "end_pos": m.end, "value": m.value, "words": words}
 
 
-def personal_data(df: DataFrame, key: str, source: str, frequent: frozenset[str] = frozenset()) -> DataFrame:
+def personal_data(df: DataFrame, key: str, source: str, frequent: frozenset[str] = frozenset(), names: NameWords = NameWords()) -> DataFrame:
     """(key, kind, start_pos, end_pos, value, words): one row per mention, with its place in the stored string; end_pos is exclusive.
 
     Null and empty texts have none. Rows with one key are taken once. Other columns are ignored.
@@ -191,12 +192,45 @@ def personal_data(df: DataFrame, key: str, source: str, frequent: frozenset[str]
 
     @F.pandas_udf(MENTIONS)
     def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([[_as_row(t, m) for m in mentions(t, frequent)] if t else [] for t in texts])
+        return pd.Series([[_as_row(t, m) for m in mentions(t, frequent, names)] if t else [] for t in texts])
 
     rows = df.where(F.col(key).isNotNull() & F.col(source).isNotNull()).select(key, F.explode(find(source)).alias("m"))
     return rows.select(key, "m.*").dropDuplicates([key, "start_pos"])
 
 
+_SCANNED = T.StructType([T.StructField("open", T.BooleanType()), T.StructField("found", MENTIONS)])
+
+
+def bounded_mentions(df: DataFrame, key: str, source: str) -> DataFrame:
+    """(key, open, found): for each text the mentions that need no knowledge of other texts, and whether names with an open edge may come on top. Stored, since the scan is the dear part."""
+
+    @F.pandas_udf(_SCANNED)
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        rows = [(t, *bounded_only(t)) for t in texts]
+        return pd.DataFrame({"open": [o for _, o, _ in rows], "found": [[_as_row(t, m) for m in found] for t, _, found in rows]})
+
+    rows = df.where(F.col(key).isNotNull() & F.col(source).isNotNull()).select(key, scan(F.col(source)).alias("s"))
+    return cut(rows.select(key, "s.*"), "bounded")
+
+
+def name_words_of(scanned: DataFrame, frequent: frozenset[str]) -> NameWords:
+    """Those of the frequent words that occur in the names of bounded_mentions; as these words are bounded, so is what comes to the driver."""
+    m = scanned.select(F.explode("found").alias("m")).where("m.kind = 'name'").select("m.words", F.size("m.words").alias("n"))
+    words = m.select(F.posexplode("words").alias("i", "w"), "n").select(F.col("w.identity").alias("word"), (F.col("i") < F.col("n") - 1).alias("begins"), (F.col("i") > 0).alias("ends"))
+    asked = scanned.sparkSession.createDataFrame([(w,) for w in sorted(frequent) if len(w) > 1], "word string")
+    rows = words.join(F.broadcast(asked), "word", "left_semi").groupBy("word").agg(F.max("begins").alias("begins"), F.max("ends").alias("ends")).collect()
+    return NameWords(frozenset(r["word"] for r in rows), frozenset(r["word"] for r in rows if r["begins"]), frozenset(r["word"] for r in rows if r["ends"]))
+
+
+def all_mentions(df: DataFrame, key: str, source: str) -> DataFrame:
+    """As personal_data, the open edges of names told by how words are used in all the texts. Only texts with such an edge are scanned twice."""
+    scanned = bounded_mentions(df, key, source)
+    frequent = frequent_words(df, source)
+    again = df.join(scanned.where("open").select(key).distinct(), key, "left_semi")
+    closed = scanned.where("not open").select(key, F.explode("found").alias("m")).select(key, "m.*").dropDuplicates([key, "start_pos"])
+    return closed.unionByName(personal_data(again, key, source, frequent, name_words_of(scanned, frequent)))
+
+
 def with_surrogates(found: DataFrame, key: str, secret: str, rounds: int = ROUNDS) -> DataFrame:
     """The mentions with their surrogate: keyed, of the same type, gender, script and format.
 
@@ -255,20 +289,20 @@ def replaced(source: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + source[end:]
 
 
-def redacted(df: DataFrame, key: str, source: str, placeholders: dict[str, str], frequent: frozenset[str] = frozenset()) -> DataFrame:
+def redacted(df: DataFrame, key: str, source: str, placeholders: dict[str, str], frequent: frozenset[str] = frozenset(), names: NameWords = NameWords()) -> DataFrame:
     """(key, source): the texts with the placeholder of its kind in place of every mention, the rest unchanged; null stays null."""
 
     @F.pandas_udf(T.StringType())
     def redact(texts: pd.Series) -> pd.Series:
-        one = lambda t: replaced(t, [(m.start, m.end, placeholders.get(m.kind, f"[{m.kind.upper()}]")) for m in mentions(t, frequent)])
+        one = lambda t: replaced(t, [(m.start, m.end, placeholders.get(m.kind, f"[{m.kind.upper()}]")) for m in mentions(t, frequent, names)])
         return texts.map(one, na_action="ignore")
 
     return df.select(key, redact(F.col(source)).alias(source))
 
 
-def pseudonymised(df: DataFrame, key: str, source: str, secret: str, frequent: frozenset[str] = frozenset()) -> DataFrame:
+def pseudonymised(df: DataFrame, key: str, source: str, secret: str) -> DataFrame:
     """(key, source): the texts with surrogates in place of the mentions, the rest unchanged. Keys are unique; null stays null."""
-    made = with_surrogates(personal_data(df, key, source, frequent), key, secret).groupBy(key).agg(F.collect_list(F.struct("start_pos", "end_pos", "surrogate")).alias("_m"))
+    made = with_surrogates(all_mentions(df, key, source), key, secret).groupBy(key).agg(F.collect_list(F.struct("start_pos", "end_pos", "surrogate")).alias("_m"))
 
     @F.pandas_udf(T.StringType())
     def put(texts: pd.Series, spans: pd.Series) -> pd.Series:

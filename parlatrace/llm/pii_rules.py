@@ -213,6 +213,7 @@ _OPEN_RIGHT = re.compile(r"\b(?:thanks|thank you|danke|gracias|and later|and the
 _OPEN_LEFT = re.compile(rf" (?:(?:could|can|would|will) you\b|and (?P<m>{_ONE}) (?:were|are|have|had) both\b)", re.I)
 _LINE_HEAD = re.compile(r"^(?:\s*[\[(]?(?:\d{1,3}:\d\d(?::\d\d)?(?:\.\d+)?|(?://)?\[?(?:speaker|spk|sprecher(?:in)?|hablante|s)[\s_.-]?\w+\]?(?=\s*[-:>(\[]))[\])]?\s*[-:>]*)+\s*", re.I)
 _WORDS = re.compile(r"\S+")
+_ARTICLES = frozenset("a an the this that these those der die das den dem des ein eine einen einem einer el la los las un una".split())
 _PLACE_AFTER = re.compile(rf"\s+(?:{PLACE_NOUNS})\b", re.I)
 
 
@@ -241,10 +242,51 @@ def _caseless(text: str, position: int) -> bool:
     return line[head.end() if head else 0 :].islower()
 
 
-def _unbounded(text: str, frequent: frozenset[str]) -> list[tuple[int, int]]:
-    """Spans of names in lines without case and punctuation, where a name's one edge is told by word frequency alone."""
+@dataclass(frozen=True)
+class NameWords:
+    """Frequent words that the transcripts also use as names, seen where both edges of a name are known."""
+
+    used: frozenset[str] = frozenset()  # anywhere in a name
+    begins: frozenset[str] = frozenset()  # before another word of it
+    ends: frozenset[str] = frozenset()  # behind another word of it
+
+
+def _name_length(words: list[str], back: bool, beyond: list[str], frequent: frozenset[str], names: NameWords) -> int:
+    """How many of the words, in order from the bounded edge of a name, belong to it. beyond: the word next to each in reading order (before it if back, else behind it)."""
+
+    def letter(w: str) -> bool:
+        return len(w) == 1 and w.isalpha()
+
+    def may(k: int) -> bool:
+        w = words[k]
+        if not w.isalpha():
+            return len(w) > 2 and bool(re.fullmatch(_PART, w))
+        if w in FUNCTION_WORDS or letter(w):
+            return False
+        if w not in frequent:
+            return True
+        if beyond[k] in _ARTICLES and (back or k == 0) or not back and _PLACE_AFTER.match(" " + beyond[k]):
+            return False  # 'in the dale', 'mark the date', 'brackworth station'
+        return w in (names.used if k == 0 else names.begins if back else names.ends)
+
+    n = k = 0
+    while k < min(len(words), 3):
+        w = words[k]
+        if may(k):
+            n = k + 1
+        elif not letter(w):
+            break
+        elif w not in FUNCTION_WORDS and (back and n or w not in frequent):
+            n = k + 1  # an initial before what is a name already
+        elif not (k + 1 < min(len(words), 3) and may(k + 1)) or w in FUNCTION_WORDS and not n:
+            break  # a letter counts between two words of a name, or as an initial before one
+        k += 1
+    return n
+
+
+def _edges(text: str) -> list[tuple[str, int, list[re.Match], re.Match]]:
+    """(line, its place, words from the known edge, pattern found) where a name in a line without case and punctuation has one open edge."""
     found = []
-    may = lambda w: w.isalpha() and w not in FUNCTION_WORDS and w not in frequent or len(w) > 2 and re.fullmatch(_PART, w) and not w.isalpha()
     for line in re.finditer(r"[^\n]+", text):
         head = _LINE_HEAD.match(line[0])
         skip = head.end() if head else 0
@@ -252,24 +294,31 @@ def _unbounded(text: str, frequent: frozenset[str]) -> list[tuple[int, int]]:
         if not s.islower():
             continue
         for m in _OPEN_RIGHT.finditer(s):
-            end = None
-            for k, w in enumerate(_WORDS.finditer(s, m.end())):
-                if k == 3 or not may(w[0].strip("./")):
-                    break
-                end = w.end()
-                if w[0][-1] in "./":
-                    end -= len(w[0]) - len(w[0].rstrip("./"))
-                    break
-            if end:
-                found.append((at + m.end(), at + end))
+            found.append((s, at, list(_WORDS.finditer(s, m.end(), min(len(s), m.end() + 120))), m))
         for m in _OPEN_LEFT.finditer(s):
-            start = m.start()
-            for k, w in enumerate(reversed(list(_WORDS.finditer(s, max(0, m.start() - 80), m.start())))):
-                if k == 3 or not may(w[0]):
-                    break
-                start = w.start()
-            if start < m.start():
-                found.append((at + start, at + m.start()))
+            found.append((s, at, list(_WORDS.finditer(s, max(0, m.start() - 80), m.start()))[::-1], m))
+    return found
+
+
+def _unbounded(text: str, frequent: frozenset[str], names: NameWords = NameWords()) -> list[tuple[int, int]]:
+    """Spans of names in lines without case and punctuation, where a name's one edge is told by how words are used over all transcripts.
+
+    A frequent word ends the name unless it is used in names elsewhere, as such a part of one, and isn't next to an article. Initials go with their name.
+    """
+    found = []
+    for _, at, words, m in _edges(text):
+        if m.re is _OPEN_RIGHT:
+            stop = next((k + 1 for k, w in enumerate(words) if w[0][-1] in "./"), len(words))
+            bare = [w[0].strip("./") for w in words]
+            n = _name_length(bare[:stop], False, [*bare[1:stop], "", ""], frequent, names)
+            if n:
+                last = words[n - 1]
+                found.append((at + m.end(), at + last.start() + len(last[0].rstrip("./"))))
+        else:
+            bare = [w[0] for w in words]
+            n = _name_length(bare, True, [*bare[1:], ""], frequent, names)
+            if n:
+                found.append((at + words[n - 1].start(), at + m.start()))
             if m["m"] and _named(m["m"]):
                 found.append((at + m.start("m"), at + m.end("m")))
     return found
@@ -291,8 +340,11 @@ def _number_kind(text: str, a: int, b: int, kind: str | None, count: int) -> str
     return kind or ("id_number" if count in (9, 11) else "phone")
 
 
-def spans(text: str, frequent: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the personal data in a plain text, in order, none within another. frequent: words too common for a name."""
+def spans(text: str, frequent: frozenset[str] = frozenset(), names: NameWords = NameWords(), bounded: bool = False) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the personal data in a plain text, in order, none within another.
+
+    frequent: words too common for a name, unless they are among `names`. bounded: without the names that have an open edge.
+    """
     found: list[tuple[int, str, int, int]] = []
     found += [(0, "email", m.start(), m.end()) for m in _around(_MAIL, [m.span() for m in _MAIL_SIGN.finditer(text)], text, 120, 200)]
     street_signs = _street_signs(text)
@@ -325,7 +377,7 @@ def spans(text: str, frequent: frozenset[str] = frozenset()) -> list[tuple[str,
                 a, b = m.span(g)
                 if _named(text[a:b]) and not _PLACE_AFTER.match(text, b):
                     found.append((3, "name", a, b))
-    found += [(4, "name", a, b) for a, b in _unbounded(text, frequent)]
+    found += [(4, "name", a, b) for a, b in ([] if bounded else _unbounded(text, frequent, names))]
     found.sort(key=lambda x: (x[0], x[2] - x[3], x[2]))
     taken: list[tuple[str, int, int]] = []
     for _, kind, a, b in found:
@@ -334,9 +386,19 @@ def spans(text: str, frequent: frozenset[str] = frozenset()) -> list[tuple[str,
     return sorted(taken, key=lambda x: x[1])
 
 
-def mentions(source: str | None, frequent: frozenset[str] = frozenset()) -> list[Mention]:
+def _mentions(plain: Plain, found: list[tuple[str, int, int]]) -> list[Mention]:
+    return [Mention(kind, plain.place(a), plain.place(b - 1) + 1, plain.text[a:b]) for kind, a, b in found]
+
+
+def mentions(source: str | None, frequent: frozenset[str] = frozenset(), names: NameWords = NameWords()) -> list[Mention]:
     """The personal data in an HTML document; null and empty sources have none."""
     if not source:
         return []
     plain = Plain(source)
-    return [Mention(kind, plain.place(a), plain.place(b - 1) + 1, plain.text[a:b]) for kind, a, b in spans(plain.text, frequent)]
+    return _mentions(plain, spans(plain.text, frequent, names))
+
+
+def bounded_only(source: str) -> tuple[bool, list[Mention]]:
+    """The mentions that need no knowledge of other documents, and whether names with an open edge may come on top."""
+    plain = Plain(source)
+    return bool(_edges(plain.text)), _mentions(plain, spans(plain.text, bounded=True))

@@ -45,14 +45,12 @@ def p1_found(s, d):
 
 
 def _p2(s, d):
-    payloads = spread(t.table(s, d, "payloads").select("payload_id", "transcript_html"))
-    return payloads, pii.frequent_words(payloads, "transcript_html")
+    return spread(t.table(s, d, "payloads").select("payload_id", "transcript_html"))
 
 
 def p2_mentions(s, d):
     """Every mention with its surrogate."""
-    payloads, frequent = _p2(s, d)
-    return pii.with_surrogates(pii.personal_data(payloads, "payload_id", "transcript_html", frequent), "payload_id", SECRET)
+    return pii.with_surrogates(pii.all_mentions(_p2(s, d), "payload_id", "transcript_html"), "payload_id", SECRET)
 
 
 def p2_found(s, d):
@@ -62,14 +60,15 @@ def p2_found(s, d):
 
 def p2_redacted(s, d):
     """The transcripts with placeholders."""
-    payloads, frequent = _p2(s, d)
-    return pii.redacted(payloads, "payload_id", "transcript_html", pii.placeholders_of(t.table(s, d, "pii_kinds")), frequent)
+    payloads = _p2(s, d)
+    frequent = pii.frequent_words(payloads, "transcript_html")
+    names = pii.name_words_of(pii.bounded_mentions(payloads, "payload_id", "transcript_html"), frequent)
+    return pii.redacted(payloads, "payload_id", "transcript_html", pii.placeholders_of(t.table(s, d, "pii_kinds")), frequent, names)
 
 
 def p2_pseudonymised(s, d):
     """The transcripts with surrogates."""
-    payloads, frequent = _p2(s, d)
-    return pii.pseudonymised(payloads, "payload_id", "transcript_html", SECRET, frequent)
+    return pii.pseudonymised(_p2(s, d), "payload_id", "transcript_html", SECRET)
 
 
 def p4_pieces(s, d):

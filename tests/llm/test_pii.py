@@ -143,3 +143,16 @@ def test_names_without_punctuation():
     frequent = frozenset("the garden they said it out read that could you in room later and were both on leave".split())
     text = "the garden torr lee could you read that out\nit in the room and later ann torr they said it\nthe garden ann lee and torr were both on leave"
     assert [m.value for m in mentions(text, frequent)] == ["torr lee", "ann torr", "ann lee", "torr"]
+
+
+def test_frequent_words_that_are_names(spark):
+    places = "<p>{} they parked outside brackworth station and down in the dale again.</p>"
+    texts = [(i, places.format("so " * i)) for i in range(12)] + [(20, "<p>Doctor Dale Brackworth signed the sheet.</p>"), (21, "<p>the first marquin m brackworth could you read that out</p>")]
+    texts += [(22, "<p>thanks dale brackworth the second</p>"), (23, "<p>down in the dale torr lee could you read that out</p>"), (24, "<p>outside brackworth station could you stop</p>"), (25, "<p>thanks brackworth station it is</p>")]
+    texts += [(30 + i, "<p>i saw zimiak there zimiak could you read that out</p>") for i in range(12)]  # one transcript sent again
+    m = {}
+    for r in pii.all_mentions(spark.createDataFrame(texts, SCHEMA), "payload_id", "transcript_html").collect():
+        m.setdefault(r.payload_id, []).append(r.value)
+    assert {k: m.get(k) for k in range(20, 26)} == {20: ["Dale Brackworth"], 21: ["marquin m brackworth"], 22: ["dale brackworth"], 23: ["torr lee"], 24: None, 25: None}
+    assert all(m[30 + i] == ["zimiak"] for i in range(12))
+    assert not any(i in m for i in range(12))
