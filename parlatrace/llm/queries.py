@@ -9,9 +9,10 @@ from parlatrace import tables as t
 from parlatrace.functions.time import seconds_to_ms
 from parlatrace.llm import lang_id, mixing, packing, pii
 from parlatrace.llm.nearest import nearest_in_time
-from parlatrace.llm.speaker_turns import speaker_turns
+from parlatrace.llm.speaker_turns import segment_turns, speaker_turns
 from parlatrace.llm.split import limits_of, split_texts
 from parlatrace.llm.tokens import text_class, token_count
+from parlatrace.operators.lookups import language_codes
 from parlatrace.plans.oracle import SPACE, unescape
 from parlatrace.session import cut, spread
 
@@ -44,6 +45,12 @@ def p1_found(s, d):
     return speaker_turns(t.table(s, d, "payloads")).select("payload_id", "start_ms", "speaker").distinct()
 
 
+def p1_segment_turns(s, d):
+    """The turns of the segments, as attributed to the turns, with their text."""
+    languages = language_codes(t.table(s, d, "jobs"), t.table(s, d, "languages"))
+    return segment_turns(t.table(s, d, "segments"), t.table(s, d, "turns"), languages)
+
+
 def _p2(s, d):
     return spread(t.table(s, d, "payloads").select("payload_id", "transcript_html"))
 
@@ -126,7 +133,7 @@ def p8_found(s, d):
     return rows.where("lang is not null").select("doc_id", "start_pos", "lang").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_turns, p1_found, p2_mentions, p2_found, p2_redacted, p2_pseudonymised, p4_pieces, p4_found, p5_found, p6_containers, p6_fill, p7_selection, p7_shares, p8_stretches, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_turns, p1_found, p1_segment_turns, p2_mentions, p2_found, p2_redacted, p2_pseudonymised, p4_pieces, p4_found, p5_found, p6_containers, p6_fill, p7_selection, p7_shares, p8_stretches, p8_found)}
 
 PLAIN = f"trim(regexp_replace({unescape("regexp_replace(transcript_html, '<[^>]+>', '', 'g')")}, '{SPACE}+', ' ', 'g'))"
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from parlatrace.functions.html import html_unescape
 from parlatrace.functions.labels import NUMBER_WORDS, speaker_of
+from parlatrace.functions.time import seconds_to_ms
+from parlatrace.operators.attribution import attribute, named_turns
+from parlatrace.operators.sequence import carried, sharded, within
+from parlatrace.session import cut
 
 # The words labels begin with, in the languages of the transcripts.
 LABEL_WORDS = "speaker|spkr|spk|sprecherin|sprecher|hablante|locutor|orador|locuteur|parlante|spreker|talare|taler|mówca|спикер|s"
@@ -106,11 +110,21 @@ def speaker_turns(df: DataFrame, key: str = "payload_id", source: str = "transcr
     rows = units(df.dropDuplicates([key]), key, source)
     document = Window.partitionBy(key).orderBy("position")
     rows = rows.withColumn("speaker", F.last(speaker_of(F.col("label")), True).over(document))
-    said = F.regexp_replace(F.regexp_replace("text", ANNOTATION, " "), _ALL_SOUNDS, " ")
-    rows = rows.where(F.col("speaker").isNotNull() & F.col("start_ms").isNotNull() & said.rlike(r"(?U)[\p{L}\p{N}]"))
+    rows = _with_words(rows)
     time = Window.partitionBy(key).orderBy("start_ms", "position")
     rows = rows.withColumn("_new", F.coalesce((F.lag("speaker").over(time) != F.col("speaker")).cast("int"), F.lit(1)))
     rows = rows.withColumn("turn_no", F.sum("_new").over(time).cast("int"))
+    return _joined(rows, key)
+
+
+def _with_words(rows: DataFrame) -> DataFrame:
+    """The units with a speaker, a time and at least one word that is no sound or remark."""
+    said = F.regexp_replace(F.regexp_replace("text", ANNOTATION, " "), _ALL_SOUNDS, " ")
+    return rows.where(F.col("speaker").isNotNull() & F.col("start_ms").isNotNull() & said.rlike(r"(?U)[\p{L}\p{N}]"))
+
+
+def _joined(rows: DataFrame, key: str) -> DataFrame:
+    """One row per turn of numbered units, with their clean text in order of time."""
     return rows.groupBy(key, "turn_no").agg(
         F.min("start_ms").alias("start_ms"), F.first("speaker").alias("speaker"), F.count("*").alias("units"),
         F.array_sort(F.collect_list(F.struct("start_ms", "position", clean(F.col("text"), F.col("english")).alias("t")))).alias("_said"),
@@ -118,3 +132,34 @@ def speaker_turns(df: DataFrame, key: str = "payload_id", source: str = "transcr
         key, "turn_no", "start_ms", "speaker", "units",
         F.array_join(F.transform(F.array_distinct(F.transform("_said", lambda x: F.struct(x["start_ms"], x["t"].alias("t")))), lambda x: x["t"]), " ").alias("text"),
     )
+
+
+SHARD_MS = 3_600_000
+
+
+def segment_turns(segments: DataFrame, turns: DataFrame, languages: DataFrame, key: str = "job_id", width: int | None = None, width_ms: int = SHARD_MS) -> DataFrame:
+    """(key, turn_no, start_ms, speaker, units, text): the clean turns of each recording, of its segments and of the turns they are attributed to.
+
+    As speaker_turns, a segment being a unit and the best overlapping turn whose label names a speaker its label: a segment without one
+    has the speaker of the segment before it by number. Segments without a start have no time; those without an end, or of no length, overlap nothing, so
+    they take on a speaker. languages: (key, language_code), which tells whose text is English; unknown counts as English. Rows that come again are taken
+    once. A long recording is cut by number, then by time: windows run within shards of `width` segments and of `width_ms`, and one row per shard
+    carries the last speaker and the number of turns on.
+    """
+    timed = segments.dropDuplicates([key, "seg_no"]).select(key, "seg_no", seconds_to_ms(F.col("start_s")).alias("start_ms"), seconds_to_ms(F.coalesce("end_s", "start_s")).alias("end_ms"), "text")
+    timed = timed.where(F.col(key).isNotNull() & F.col("seg_no").isNotNull() & F.col("start_ms").isNotNull())
+    heard = attribute(timed, named_turns(turns.dropDuplicates([key, "turn_no"]))).select(key, "seg_no", "start_ms", "text", F.nullif("new_speaker", F.lit("")).alias("heard"))
+    rows = sharded(cut(heard, "heard"), key, "seg_no", width)  # rows and their summaries read it, as they do the units below
+    rows = carried(rows, key, [F.max_by("heard", F.when(F.col("heard").isNotNull(), F.col("seg_no"))).alias("_last")], lambda w: [F.last("_last", True).over(w).alias("_carry")])
+    rows = rows.withColumn("speaker", F.coalesce(F.last("heard", True).over(within(key, "seg_no")), "_carry")).drop("shard", "_carry", "heard")
+
+    rows = sharded(cut(_with_words(rows.withColumnRenamed("seg_no", "position")), "units"), key, "start_ms", width_ms)
+    time = Window.partitionBy(key, "shard").orderBy("start_ms", "position")
+    rows = rows.withColumn("_new", F.coalesce((F.lag("speaker").over(time) != F.col("speaker")).cast("int"), F.lit(0))).withColumn("_in", F.sum("_new").over(time))
+    place, along = F.struct("start_ms", "position"), Window.partitionBy(key).orderBy("shard")
+    shards = rows.groupBy(key, "shard").agg(F.min_by("speaker", place).alias("_first"), F.max_by("speaker", place).alias("_last"), F.max("_in").alias("_changes"))
+    begins = F.coalesce((F.lag("_last").over(along) != F.col("_first")).cast("int"), F.lit(1))  # else its first turn goes on from the shard before
+    shards = shards.withColumn("_more", begins + F.coalesce(F.lag("_changes").over(along), F.lit(0))).select(key, "shard", F.sum("_more").over(along).alias("_before"))
+    rows = rows.join(shards, [key, "shard"]).withColumn("turn_no", (F.col("_before") + F.col("_in")).cast("int"))
+    english = languages.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col("language_code") == "en").alias("english"))
+    return _joined(rows.join(english, key, "left").withColumn("english", F.coalesce("english", F.lit(True))), key)

@@ -85,3 +85,19 @@ def test_against_plain_reading(spark):
         got.setdefault(r.payload_id, set()).add((r.start_ms, r.speaker))
     want = {r.payload_id: b for r in df.select("payload_id", "transcript_html").collect() if (b := brute(r.transcript_html))}
     assert got == want
+
+
+def test_segments_and_turns(spark):
+    from parlatrace.llm.speaker_turns import segment_turns
+
+    said = [(0.0, 1.0, " Uh, one. "), (1.0, 2.0, "(laughs)"), (2.0, 3.0, "Two."), (3.0, None, "Three."), (None, 5.0, "Never."), (5.0, 6.0, "Four, um, [noise] five."), (6.0, 7.0, None), (6.5, 6.5, "Six."), (7.0, 8.0, "Seven."), (20.0, 21.0, "Eight.")]
+    heard = [(0, 1000, "SPEAKER_01"), (1000, 2000, "spk 2"), (2000, 3000, "Speaker one"), (5000, 6000, "//S2"), (6000, 7000, "noise"), (7000, 8000, "S03"), (7000, 8000, None)]
+    segments = [(job, n, *x) for job in (7, 8) for n, x in enumerate(said)]
+    turns = [(7, n, *x) for n, x in enumerate(heard)]
+    languages = spark.createDataFrame([(7, "en")], "job_id bigint, language_code string")
+    s = spark.createDataFrame(segments + segments[:3], "job_id bigint, seg_no int, start_s double, end_s double, text string")
+    u = spark.createDataFrame(turns + turns[:3], "job_id bigint, turn_no int, start_ms bigint, end_ms bigint, label string")
+    want = [(7, 1, 0, "S01", 3, "one. Two. Three."), (7, 2, 5000, "S02", 2, "Four, five. Six."), (7, 3, 7000, "S03", 2, "Seven. Eight.")]
+    for widths in ({}, {"width": 2, "width_ms": 1500}):  # shards of a few rows change nothing
+        got = segment_turns(s, u, languages, **widths)
+        assert sorted(tuple(r) for r in got.collect()) == want
