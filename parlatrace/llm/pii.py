@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -78,31 +79,71 @@ def gender_of(word: str, before: str = "") -> str:
     return "f" if _FEMALE.search(before) else "m" if _MALE.search(before) else "f" if word[-1:].lower() in "aeаея" else "m"
 
 
+_ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをん")
+
+
+def _alphabet(letter: str) -> str:
+    """The letters an initial is swapped among: those of its alphabet, else the like ones of its script near it in Unicode."""
+    for known in _ALPHABETS:
+        if letter in known:
+            return known
+    cased = lambda c: len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c
+    like = lambda c: c.isalpha() and c.lower() == c and cased(c) == cased(letter) and _script(c) == _script(letter) and not any(c in known for known in _ALPHABETS)
+    block = ord(letter) // 128 * 128
+    return "".join(c for c in map(chr, range(block, block + 128)) if c == letter or like(c))
+
+
+@lru_cache(maxsize=4096)
+def _initial(letter: str, key: str) -> str:
+    """Another letter of the alphabet, by a keyed permutation that leaves none where it is: different initials stay different."""
+    order = sorted(_alphabet(letter), key=lambda c: (next(_stream(key, "initial", c)), c))
+    return order[(order.index(letter) + 1) % len(order)]
+
+
 def name_word(word: str, key: str, attempt: int, gender: str) -> str:
     """A made-up word in place of one of a name: same script and case, an ending of the same gender; an initial stays an initial."""
     bare = word.strip(".")
+    if len(bare) == 1:
+        return _cased(bare, _initial(bare.lower() if len(bare.lower()) == 1 else bare, key)) + word[1:]
     numbers = _stream(key, "name", bare.lower(), attempt)
     script = _script(bare)
-    if len(bare) == 1:
-        return _cased(bare, chr(ord("a") + next(numbers) % 26)) + word[1:]
     syllables = _SYLLABLES[script]
     made = "".join(syllables[next(numbers) % len(syllables)] for _ in range(3))
     endings = _ENDINGS[script, gender]
     return _cased(bare, made + endings[next(numbers) % len(endings)])
 
 
-def _characters(value: str, key: str, kind: str, identity: str, attempt: int, keep: int) -> str:
-    """Digits for digits and letters for letters, the first `keep` characters and all separators as they are."""
-    numbers, out = _stream(key, kind, identity, attempt), []
-    for i, c in enumerate(value):
+_CALLING_CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+
+
+def _kept(kind: str, identity: str) -> int:
+    """How many characters of a number a surrogate keeps: those that tell the country, or the kind of area."""
+    if kind != "phone":
+        return 0
+    if identity[:1] == "+" or identity[:2] == "00" or identity[:1] != "0" and len(identity) > 10:
+        skip = 1 if identity[0] == "+" else 2 if identity[0] == "0" else 0
+        code = _CALLING_CODE.match(identity, skip)
+        return code.end() if code else skip
+    return 2 if identity[:1] == "0" else 1
+
+
+def _drawn(kind: str, identity: str, key: str, attempt: int) -> str:
+    """The characters of a number's surrogate without separators: digits for digits and letters for letters, drawn from what all its spellings share."""
+    numbers, keep, out = _stream(key, kind, identity, attempt), _kept(kind, identity), []
+    for i, c in enumerate(identity):
         n = next(numbers)
-        if i < keep or not c.isalnum() or value[i - 1 : i + 2] == "(0)":
-            out.append(c)
-        elif c.isdigit():
-            out.append(str(n % 10))
-        else:
-            out.append(_cased(c, chr(ord("a") + n % 26)))
-    return "".join(out)
+        out.append(c if i < keep else str(n % 10) if c.isdigit() else chr(ord("a") + n % 26))
+    return "".join(out).removeprefix("+")
+
+
+def _bare(value: str) -> str:
+    return "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c.lower()[0] for c in value.replace("(0)", "") if c.isalnum())
+
+
+def _laid(value: str, drawn: str) -> str:
+    """The drawn characters in the format of value: its separators, and a zero in brackets, as they are."""
+    left = iter(drawn)
+    return "".join(c if not c.isalnum() or value[max(0, i - 1) : i + 2] == "(0)" else _cased(c, next(left)) for i, c in enumerate(value))
 
 
 def surrogate(kind: str, value: str, key: str, attempt: int = 0, gender: str = "m") -> str:
@@ -113,11 +154,11 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0, gender: str = "
     if kind in ("phone", "id_number"):
         words = re.findall(r"[^\W\d_]+", value.lower())
         if not any(c.isdigit() for c in value) and any(w in _VALUE_OF for w in words):
-            digits = iter(_characters(identity, key, kind, identity, attempt, 1))
+            digits = iter(_drawn(kind, identity, key, attempt))
             spell = lambda m: _DIGIT_WORDS[_VALUE_OF[m[0].lower()][0]][int(next(digits, "0"))] if m[0].lower() in _VALUE_OF else m[0]
-            return re.sub(r"[^\W\d_]+", spell, re.sub(r"\b(?:double|triple|doble) (?=\w)", "", value, flags=re.I))
-        lead = re.match(r"\+\d{1,3}|00\d{2}|\(?0?\d", value) if kind == "phone" else None
-        return _characters(value, key, kind, identity, attempt, lead.end() if lead else 0)
+            plain = re.sub(r"\b(double|doble|triple)[ ,-]+([^\W\d_]+)", lambda m: " ".join([m[2]] * (3 if m[1].lower() == "triple" else 2)) if m[2].lower() in _VALUE_OF else m[0], value, flags=re.I)
+            return re.sub(r"[^\W\d_]+", spell, plain)
+        return _laid(value, _drawn(kind, identity, key, attempt))
     if kind == "email":
         numbers = _stream(key, "email", identity, attempt)
         local = "".join(_SYLLABLES["LATIN"][next(numbers) % 50 % len(_SYLLABLES["LATIN"])] for _ in range(4)) + str(next(numbers) % 100)
@@ -156,7 +197,8 @@ def identity_of(kind: str, value: str) -> str:
                 else:
                     times = {"double": 2, "doble": 2, "triple": 3}.get(w, 1)
             return "".join(out)
-        return re.sub(r"[^a-z0-9]", "", low.replace("(0)", ""))
+        bare = _bare(value)
+        return "+" + bare if kind == "phone" and value[:1] == "+" and len(bare) <= 10 else bare
     if kind == "email":
         low = re.sub(r"\s*[(\[]at[)\]]\s*|\s+at\s+|\s+arroba\s+|\s+ät\s+", "@", low)
         low = re.sub(r"\s*[(\[]dot[)\]]\s*|\s+dot\s+|\s+punkt\s+|\s+punto\s+", ".", low)
@@ -237,7 +279,8 @@ def with_surrogates(found: DataFrame, key: str, secret: str, rounds: int = ROUND
     Words of names get surrogates of their own, so that a full name and its parts stay recognisable as one person (coreference); other
     kinds get one per thing, however it is written. Different things keep different surrogates, and none gets a value that
     occurs in the data: surrogates are held against each other and against all values, and those that collide are drawn anew,
-    `rounds` times; what still collides gets a numbered placeholder, which can't. A name taken for a woman's once is one
+    `rounds` times; what still collides gets a numbered placeholder, which can't. Initials are permuted within their alphabet, so
+    they need no such check, but another's initial may be among them. A name taken for a woman's once is one
     throughout. Only these exceptions are joined back.
     """
 

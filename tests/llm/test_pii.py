@@ -156,3 +156,35 @@ def test_frequent_words_that_are_names(spark):
     assert {k: m.get(k) for k in range(20, 26)} == {20: ["Dale Brackworth"], 21: ["marquin m brackworth"], 22: ["dale brackworth"], 23: ["torr lee"], 24: None, 25: None}
     assert all(m[30 + i] == ["zimiak"] for i in range(12))
     assert not any(i in m for i in range(12))
+
+
+def test_initials_stay_different():
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "ÀÉÖÜÑÅ", "あいう"):
+        for key in ("key", "another"):
+            made = [pii.surrogate("name", c + ".", key) for c in alphabet]
+            assert len(set(made)) == len(alphabet) and all(len(m) == 2 and m != c + "." and m[1] == "." for m, c in zip(made, alphabet, strict=True))
+            assert all(pii._script(m) == pii._script(alphabet[0]) and m[0] == m[0].upper() for m in made)
+
+
+@pytest.mark.parametrize(
+    ("kind", "spellings"),
+    [
+        ("id_number", ["987654323", "987 65 4323", "987-65-4323", "nine eight seven six five four three two three"]),
+        ("id_number", ["QQ586150C", "qq 58 61 50 c"]),
+        ("phone", ["+44 (0)7700 900411", "+447700900411", "+44 7700 900-411"]),
+        ("phone", ["0049 (30) 23125784", "00493023125784"]),
+        ("phone", ["030/23125-617", "(030) 23125617"]),
+        ("phone", ["0335551144", "oh double three five five five double one double four", "oh three three, triple five, one one four four"]),
+    ],
+)
+def test_spellings_of_a_number_share_digits(kind, spellings):
+    assert len({pii.identity_of(kind, v) for v in spellings}) == 1
+    for attempt in range(3):
+        made = [pii.surrogate(kind, v, "key", attempt) for v in spellings]
+        assert len({pii.identity_of(kind, m) for m in made}) == 1 and pii.identity_of(kind, made[0]) != pii.identity_of(kind, spellings[0])
+        assert all(re.sub(r"\w", "x", m) == re.sub(r"\w", "x", v) for m, v in zip(made, spellings, strict=True) if any(c.isdigit() for c in v))
+
+
+def test_short_international_number_is_another():
+    assert pii.identity_of("phone", "+49 30 123456") != pii.identity_of("phone", "493 012 3456")
+    assert pii.surrogate("phone", "+49 30 123456", "key").startswith("+49 ")
