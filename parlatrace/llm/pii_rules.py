@@ -106,7 +106,7 @@ _AT = r"(?:\s*\(at\)\s*|\s*\[at\]\s*|\s+at\s+|\s+arroba\s+|\s+ät\s+|\s?@\s?)"
 _MAIL = re.compile(rf"(?<![\w@.+])(?:{_LOCAL}{_DOT}){{0,3}}{_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}(?:{ENDINGS})(?![\w@-])", re.I)
 
 #: What a mail address, or a street with its number, can't be without; the longer patterns are tried around it only.
-_MAIL_SIGN = re.compile(r"@|[(\[]at[)\]]|\bat\b(?=\s+\S+(?:\s+\S+){0,3}?\s*(?:\bdot\b|[(\[]dot|\.\w))|\barroba\b|\bät\b", re.I)
+_MAIL_SIGN = re.compile(r"@|[(\[]at[)\]]|\bat\b(?=\s+\S+(?:\s+\S+){0,4}?\s*(?:\b(?:dot|punkt|punto)\b|[(\[]dot|\.\w))|\barroba\b|\bät\b", re.I)
 _STREET_SUFFIXES = tuple("straße strasse str. gasse allee weg platz ufer damm ring steig pfad straat laan plein gracht kade gatan vägen gade vej".split())
 _BEFORE_NUMBER = re.compile(r"(?<=[^\W\d]) \d|(?<=\.) \d")
 
@@ -189,7 +189,7 @@ _PERSONS = [
         (rf"{_START}(?P<n>{_ONE}), (?:could|can|would|will|please|do you|kannst|können|könnten|puede|podría|pourriez)\b", ",_could ,_can ,_would ,_will ,_please ,_do_you ,_kann ,_könn ,_puede ,_podr ,_pourr"),
         (rf"\b(?:speaking is|my name is|this is|here is|i am called|ich heiße|mein name ist|hier spricht|me llamo|mi nombre es|je m['’]appelle) (?P<n>{_ONE})(?=,| (?:speaking|good|from|and)\b|\s*[.!?\n]|$)", "speaking_is name_is this_is here_is i_am_called ich_heiße hier_spricht me_llamo nombre_es m'appelle m’appelle"),
         # titles and relations
-        (rf"\b{_TITLE} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|will|can|ist|war|wird|es|fue|está|and|und|y)\b|\s*[.,;:!?\n]|$)", "doctor dr._ dr_ mr._ mr_ mrs ms._ ms_ miss prof sir_ madam herr frau fräulein señor sr._ sra don_ doña monsieur mme signor dottor senhor mevrouw meneer fru_"),
+        (rf"\b{_TITLE} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|will|can|ist|war|wird|es|fue|está|and|und|y)\b|\s*[.,;:!?\n]|$)", "doctor dr._ dr_ mr._ mr_ mrs ms._ ms_ miss prof sir_ madam herr frau fräulein señor sr._ sr_ sr.a sra don_ doña monsieur mme signor dottor senhor mevrouw meneer fru_"),
         (rf"\b(?:my|our|your|his|her|their|mein|meine|meiner|unser|unsere|mi|su|nuestr[oa]|mon|ma) {_KIN} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|ist|war|es|fue)\b|\s*[.,;:!?\n]|$)", "neighb colleague boss uncle aunt cousin brother sister friend wife husband son_ daughter nachbar kolleg chef onkel tante bruder schwester vecin herman tio_ tía tío tia_ prim jef voisin collègue"),
         # pointed at
         (rf"\b(?:that|it|this) (?:was|is) (?P<n>{_ONE})(?= on the (?:line|phone)\b|['’]s (?:idea|fault|turn|plan|job|suggestion|decision|voice|number|key|desk)\b| (?:who|again)\b)", "on_the_line on_the_phone 's_ ’s_ _who _again"),

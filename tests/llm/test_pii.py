@@ -188,3 +188,25 @@ def test_spellings_of_a_number_share_digits(kind, spellings):
 def test_short_international_number_is_another():
     assert pii.identity_of("phone", "+49 30 123456") != pii.identity_of("phone", "493 012 3456")
     assert pii.surrogate("phone", "+49 30 123456", "key").startswith("+49 ")
+
+
+TITLES = "doctor dr dr. mr mr. mrs mrs. ms ms. miss professor prof prof. sir madam herr herrn frau fräulein señor señora señorita sr sr. sra sra. sr.a don doña madame monsieur mme signor signora dottor dottoressa senhor senhora mevrouw meneer fru".split()
+KIN = "neighbor neighbour colleague boss uncle aunt cousin brother sister friend wife husband son daughter nachbar nachbarin kollege kollegin chef chefin onkel tante bruder schwester vecino vecina hermano hermana tio tia primo prima jefe jefa voisin voisine collègue".split()
+
+
+@pytest.mark.parametrize("text", [*(f"Then {t.capitalize()} Torr signed it." for t in TITLES), *(f"So my {k} Torr signed it." for k in KIN)])
+def test_prefilter_agrees_with_plain_scanning(text):
+    from parlatrace.llm import pii_rules
+
+    plain = [p.pattern for p, needs in pii_rules._PERSONS if p.search(text) and not any(w in text.lower() for w in needs)]
+    assert not plain
+
+
+@pytest.mark.parametrize("at", [" at ", " ät ", " arroba ", " (at) ", "[at]", "@"])
+@pytest.mark.parametrize("dot", [" dot ", " punkt ", " punto ", " (dot) ", ".", " [dot] "])
+@pytest.mark.parametrize("host", ["firma", "firma dash nord bindestrich ost"])
+def test_mail_signs_agree_with_plain_scanning(at, dot, host):
+    from parlatrace.llm import pii_rules
+
+    text = f"Mail anna{at}{host}{dot}de, please."
+    assert [m[0] for m in pii_rules._MAIL.finditer(text)] == [text[a:b] for k, a, b in pii_rules.spans(text) if k == "email"] != []
