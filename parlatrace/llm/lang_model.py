@@ -287,6 +287,7 @@ def _words_with_places(text: str, start: int, end: int) -> list[tuple[int, list[
 
 
 LONG_WORDS = 12
+WINDOW_WORDS = 8
 WORD_SWITCH = 1.2
 
 
@@ -314,11 +315,10 @@ def stretches(texts: list[str | None], model: Model, vocabulary: Vocabulary) ->
     longs = [i for i, u in enumerate(units) if len(u) >= LONG_WORDS]
     inside: dict[int, list[tuple[int, int]]] = {}
     if longs:
-        halves = [units[i][: len(units[i]) // 2] for i in longs] + [units[i][len(units[i]) // 2 :] for i in longs]
-        h = model.similarities(halves, vocabulary)
-        whole = scores[longs].argmax(axis=1)
-        differ = (h[: len(longs)].argmax(axis=1) != whole) | (h[len(longs) :].argmax(axis=1) != whole)
-        suspects = {i for i, d in zip(longs, differ, strict=True) if d}
+        # overlapping windows of a few words: a change in the middle shows in one of them, however little it is of the whole
+        windows = [(i, units[i][k : k + WINDOW_WORDS]) for i in longs for k in range(0, max(1, len(units[i]) - WINDOW_WORDS // 2), WINDOW_WORDS // 2)]
+        best = model.similarities([w for _, w in windows], vocabulary).argmax(axis=1)
+        suspects = {i for (i, _), k in zip(windows, best, strict=True) if k != scores[i].argmax()}
         where = {u: (d, a, b) for d, mine in enumerate(spans) for a, b, u in mine if u in suspects}
         for u, (d, a, b) in where.items():
             tokens = _words_with_places(texts[d], a, b)

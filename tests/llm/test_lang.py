@@ -90,3 +90,13 @@ def test_held_out_documents(spark, samples):
     out = lang_id.language_stretches(held, fitted, carry={"label": lang_id.label_code(F.col("lang"), names)}).where("n_stretches = 1 and label is not null")
     n, right = out.selectExpr("count(*)", "count_if(label = lang)").first()
     assert n > 300 and right >= 0.9 * n
+
+
+def test_a_change_in_the_midst_of_a_long_unit(samples):
+    model = fit(samples)
+    en, de = ([s.lower().strip(".!?").replace(",", "") for code, s in samples if code == c] for c in ("en", "de"))
+    text = " ".join([*en[:3], de[0], *en[3:8]])  # in each half German is the lesser part
+    got = stretches([text], model, Vocabulary())[0]
+    assert [lang for _, lang, _ in got] == ["en", "de", "en"]
+    assert [text[p:].startswith(w) for (p, _, _), w in zip(got[1:], (de[0].split()[0], en[3].split()[0]), strict=True)] == [True, True]
+    assert [lang for _, lang, _ in stretches([" ".join(en[:8])], model, Vocabulary())[0]] == ["en"]
