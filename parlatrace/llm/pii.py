@@ -6,17 +6,19 @@ import hashlib
 import re
 import unicodedata
 from functools import lru_cache
+from secrets import token_hex
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parlatrace.llm.pii_rules import SMALL_NUMBERS, Mention, NameWords, bounded_only, mentions
+from parlatrace.llm import name_model
+from parlatrace.llm.pii_rules import SMALL_NUMBERS, Mention, mentions
 from parlatrace.session import cut
 
-SHARE = 5000
 ROUNDS = 3
+LAST_ATTEMPT = 9
 _DIGIT_WORDS = {
     "en": "zero one two three four five six seven eight nine".split(),
     "de": "null eins zwei drei vier fünf sechs sieben acht neun".split(),
@@ -33,20 +35,6 @@ _MALE = re.compile(r"(?:herrn?|mr|sir|señor|sr|don|monsieur|signor|uncle|brothe
 _STREET_KINDS = frozenset("street str st road rd avenue ave lane ln close crescent terrace gardens garden row yard hill quay drive court place square way park mews walk grove boulevard flat apartment apt unit suite calle avenida plaza paseo camino número numero de del la los las am an der im auf dem zum zur weg gasse allee platz rue via via".split())
 
 
-def frequent_words(df: DataFrame, source: str, share: int = SHARE) -> frozenset[str]:
-    """The lower-case words that make up more than one in `share` of all words of the texts, a text that comes again counted once.
-
-    By arithmetic there are fewer than `share` of them, which bounds what comes to the driver. Words counted fewer than ten
-    times are left out, so that in a small table names don't count as frequent.
-    """
-    words = F.explode(F.regexp_extract_all(F.lower(F.regexp_replace(F.col(source), "<[^>]*>", " ")), F.lit(r"[\p{L}]+"), 0))
-    texts = df.where(F.col(source).isNotNull()).select(source).dropDuplicates()
-    counts = cut(texts.select(words.alias("word")).groupBy("word").count(), "words")
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    rows = counts.where((F.col("count") * share > total) & (F.col("count") >= 10)).select("word").collect()
-    return frozenset(r["word"] for r in rows)
-
-
 # ---- surrogates of single values
 
 
@@ -101,14 +89,14 @@ def _initial(letter: str, key: str) -> str:
 
 
 def name_word(word: str, key: str, attempt: int, gender: str) -> str:
-    """A made-up word in place of one of a name: same script and case, an ending of the same gender; an initial stays an initial."""
+    """A made-up word in place of one of a name: same script and case, an ending of the same gender; an initial stays an initial. Every further attempt makes a longer word, so there is always room."""
     bare = word.strip(".")
     if len(bare) == 1:
         return _cased(bare, _initial(bare.lower() if len(bare.lower()) == 1 else bare, key)) + word[1:]
     numbers = _stream(key, "name", bare.lower(), attempt)
     script = _script(bare)
     syllables = _SYLLABLES[script]
-    made = "".join(syllables[next(numbers) % len(syllables)] for _ in range(3))
+    made = "".join(syllables[next(numbers) % len(syllables)] for _ in range(3 + attempt))
     endings = _ENDINGS[script, gender]
     return _cased(bare, made + endings[next(numbers) % len(endings)])
 
@@ -146,6 +134,12 @@ def _laid(value: str, drawn: str) -> str:
     return "".join(c if not c.isalnum() or value[max(0, i - 1) : i + 2] == "(0)" else _cased(c, next(left)) for i, c in enumerate(value))
 
 
+# How the joints of a mail address are spoken.
+_MAIL_JOINTS = frozenset("dot punkt punto underscore unterstrich guion bajo dash hyphen minus plus bindestrich".split())
+# Short forms of words of addresses.
+_ADDRESS_SHORT = {"st": "street", "str": "straße", "strasse": "straße", "rd": "road", "ave": "avenue", "avda": "avenida", "ln": "lane", "ct": "court", "dr": "drive", "blvd": "boulevard", "apt": "apartment", "núm": "número", "numero": "número"}
+
+
 def surrogate(kind: str, value: str, key: str, attempt: int = 0, gender: str = "m") -> str:
     """A value of the same type and format in place of another. The same value, key and attempt give the same surrogate."""
     identity = identity_of(kind, value)
@@ -160,12 +154,25 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0, gender: str = "
             return re.sub(r"[^\W\d_]+", spell, plain)
         return _laid(value, _drawn(kind, identity, key, attempt))
     if kind == "email":
-        numbers = _stream(key, "email", identity, attempt)
-        local = "".join(_SYLLABLES["LATIN"][next(numbers) % 50 % len(_SYLLABLES["LATIN"])] for _ in range(4)) + str(next(numbers) % 100)
         at = re.search(r"\s*\(at\)\s*|\s*\[at\]\s*|\s+at\s+|\s+arroba\s+|\s+ät\s+|\s?@\s?", value, re.I)
-        host = "".join(_SYLLABLES["LATIN"][next(numbers) % len(_SYLLABLES["LATIN"])] for _ in range(3))
-        dot = re.search(r"\s*\(dot\)\s*|\s+dot\s+|\s+punkt\s+|\s+punto\s+|\.", value[at.end() if at else 0 :], re.I)
-        return _cased(value, local) + (at[0] if at else "@") + _cased(value, host) + (dot[0] if dot else ".") + _cased(value, "example")
+        local, host = value[: at.start()] if at else value, value[at.end() :] if at else ""
+        numbers = _stream(key, "email", identity, attempt)
+        first = 2 + attempt
+
+        def part(m: re.Match) -> str:
+            nonlocal first
+            if m[0].lower() in _MAIL_JOINTS:
+                return m[0]
+            if m[0].isdigit():
+                return "".join(str(next(numbers) % 10) for _ in m[0])
+            made = "".join(_SYLLABLES["LATIN"][next(numbers) % len(_SYLLABLES["LATIN"])] for _ in range(first))
+            first = 2
+            return _cased(m[0], made)
+
+        spoken = re.sub(r"[^\W\d_]+|\d+", part, local)
+        name = "".join(_SYLLABLES["LATIN"][next(numbers) % len(_SYLLABLES["LATIN"])] for _ in range(3))
+        dot = re.search(r"\s*\(dot\)\s*|\s*\[dot\]\s*|\s+dot\s+|\s+punkt\s+|\s+punto\s+|\.", host, re.I)
+        return spoken + (at[0] if at else "@") + _cased(value, name) + (dot[0] if dot else ".") + _cased(value, "example")
     numbers = _stream(key, "address", identity, attempt)
 
     def swap(m: re.Match) -> str:
@@ -177,7 +184,7 @@ def surrogate(kind: str, value: str, key: str, attempt: int = 0, gender: str = "
         if w.lower() in _STREET_KINDS or len(w) == 1:
             return w
         tail = re.search(r"(?:straße|strasse|gasse|allee|weg|platz|straat|laan|gatan|vägen)$", w, re.I)
-        made = "".join(_SYLLABLES[_script(w)][next(numbers) % len(_SYLLABLES[_script(w)])] for _ in range(3))
+        made = "".join(_SYLLABLES[_script(w)][next(numbers) % len(_SYLLABLES[_script(w)])] for _ in range(3 + attempt))
         return _cased(w, made) + (tail[0].lower() if tail else "")
 
     return re.sub(r"\d+|[^\W\d_]+", swap, value)
@@ -204,6 +211,8 @@ def identity_of(kind: str, value: str) -> str:
         low = re.sub(r"\s*[(\[]dot[)\]]\s*|\s+dot\s+|\s+punkt\s+|\s+punto\s+", ".", low)
         low = re.sub(r"\s+(?:underscore|unterstrich|guion bajo)\s+", "_", low)
         return re.sub(r"\s+", "", re.sub(r"\s+(?:dash|hyphen|minus|bindestrich)\s+", "-", low))
+    if kind == "address":
+        return re.sub(r"[^\W\d_]+", lambda m: _ADDRESS_SHORT.get(m[0], m[0].replace("strasse", "straße")), re.sub(r"[\s.,]+", " ", low).strip())
     return re.sub(r"[\s.,]+", " ", low).strip()
 
 
@@ -226,60 +235,31 @@ def _as_row(source: str, m: Mention) -> dict:
     return {"kind": m.kind, "start_pos": m.start, "end_pos": m.end, "value": m.value, "words": words}
 
 
-def personal_data(df: DataFrame, key: str, source: str, frequent: frozenset[str] = frozenset(), names: NameWords = NameWords()) -> DataFrame:
+def personal_data(df: DataFrame, key: str, source: str) -> DataFrame:
     """(key, kind, start_pos, end_pos, value, words): one row per mention, with its place in the stored string; end_pos is exclusive.
 
-    Null and empty texts have none. Rows with one key are taken once. Other columns are ignored.
+    A text's mentions depend on that text alone. Null and empty texts have none. Rows with one key are taken once. Other columns are ignored.
     """
 
+    weights = name_model.model()
+
     @F.pandas_udf(MENTIONS)
     def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([[_as_row(t, m) for m in mentions(t, frequent, names)] if t else [] for t in texts])
+        name_model.use(weights)
+        return pd.Series([[_as_row(t, m) for m in mentions(t)] if t else [] for t in texts])
 
     rows = df.where(F.col(key).isNotNull() & F.col(source).isNotNull()).select(key, F.explode(find(source)).alias("m"))
     return rows.select(key, "m.*").dropDuplicates([key, "start_pos"])
 
 
-_SCANNED = T.StructType([T.StructField("open", T.BooleanType()), T.StructField("found", MENTIONS)])
-
-
-def bounded_mentions(df: DataFrame, key: str, source: str) -> DataFrame:
-    """(key, open, found): for each text the mentions that need no knowledge of other texts, and whether names with an open edge may come on top. Stored, since the scan is the dear part."""
-
-    @F.pandas_udf(_SCANNED)
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        rows = [(t, *bounded_only(t)) for t in texts]
-        return pd.DataFrame({"open": [o for _, o, _ in rows], "found": [[_as_row(t, m) for m in found] for t, _, found in rows]})
-
-    rows = df.where(F.col(key).isNotNull() & F.col(source).isNotNull()).select(key, scan(F.col(source)).alias("s"))
-    return cut(rows.select(key, "s.*"), "bounded")
-
-
-def name_words_of(scanned: DataFrame, frequent: frozenset[str]) -> NameWords:
-    """Those of the frequent words that occur in the names of bounded_mentions; as these words are bounded, so is what comes to the driver."""
-    m = scanned.select(F.explode("found").alias("m")).where("m.kind = 'name'").select("m.words", F.size("m.words").alias("n"))
-    words = m.select(F.posexplode("words").alias("i", "w"), "n").select(F.col("w.identity").alias("word"), (F.col("i") < F.col("n") - 1).alias("begins"), (F.col("i") > 0).alias("ends"))
-    asked = scanned.sparkSession.createDataFrame([(w,) for w in sorted(frequent) if len(w) > 1], "word string")
-    rows = words.join(F.broadcast(asked), "word", "left_semi").groupBy("word").agg(F.max("begins").alias("begins"), F.max("ends").alias("ends")).collect()
-    return NameWords(frozenset(r["word"] for r in rows), frozenset(r["word"] for r in rows if r["begins"]), frozenset(r["word"] for r in rows if r["ends"]))
-
-
-def all_mentions(df: DataFrame, key: str, source: str) -> DataFrame:
-    """As personal_data, the open edges of names told by how words are used in all the texts. Only texts with such an edge are scanned twice."""
-    scanned = bounded_mentions(df, key, source)
-    frequent = frequent_words(df, source)
-    again = df.join(scanned.where("open").select(key).distinct(), key, "left_semi")
-    closed = scanned.where("not open").select(key, F.explode("found").alias("m")).select(key, "m.*").dropDuplicates([key, "start_pos"])
-    return closed.unionByName(personal_data(again, key, source, frequent, name_words_of(scanned, frequent)))
-
-
 def with_surrogates(found: DataFrame, key: str, secret: str, rounds: int = ROUNDS) -> DataFrame:
     """The mentions with their surrogate: keyed, of the same type, gender, script and format.
 
     Words of names get surrogates of their own, so that a full name and its parts stay recognisable as one person (coreference); other
     kinds get one per thing, however it is written. Different things keep different surrogates, and none gets a value that
     occurs in the data: surrogates are held against each other and against all values, and those that collide are drawn anew,
-    `rounds` times; what still collides gets a numbered placeholder, which can't. Initials are permuted within their alphabet, so
+    `rounds` times, names, mail and street names longer each time. What still collides gets, of a name, mail or address, a word of twelve syllables (one of more
+    than 10^20, no longer checked); a number, whose format leaves no room to grow, gets a numbered placeholder. Initials are permuted within their alphabet, so
     they need no such check, but another's initial may be among them. A name taken for a woman's once is one
     throughout. Only these exceptions are joined back.
     """
@@ -305,8 +285,9 @@ def with_surrogates(found: DataFrame, key: str, secret: str, rounds: int = ROUND
         state = drawn.select("kind", "identity", "word", "gender", "doubtful", (F.col("attempt") + F.when(again, 1).otherwise(0)).alias("attempt"))
     last = state.withColumn("made", identity("kind", draw("kind", "word", "gender", "attempt"))).withColumn("rank", F.row_number().over(group)).join(real, ["kind", "made"], "left")
     clash = (F.col("rank") > 1) | F.col("occurs").isNotNull()
+    number = F.col("kind").isin("phone", "id_number")
     exceptions = last.where((F.col("attempt") > 0) | clash | F.col("doubtful")).select(
-        "kind", "identity", "attempt", F.col("gender").alias("agreed"), F.when(clash, F.concat(F.lit("["), F.upper("kind"), F.lit(" "), F.substring(F.sha2(F.concat_ws("|", "kind", "identity", F.lit(secret)), 256), 1, 12), F.lit("]"))).alias("numbered")
+        "kind", "identity", F.when(clash & ~number, LAST_ATTEMPT).otherwise(F.col("attempt")).alias("attempt"), F.col("gender").alias("agreed"), F.when(clash & number, F.concat(F.lit("["), F.upper("kind"), F.lit(" "), F.substring(F.sha2(F.concat_ws("|", "kind", "identity", F.lit(secret)), 256), 1, 12), F.lit("]"))).alias("numbered")
     )
     parts = parts.join(exceptions, ["kind", "identity"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
     parts = parts.withColumn("s", F.coalesce("numbered", draw("kind", "word", F.coalesce("agreed", "gender"), "attempt")))
@@ -332,12 +313,15 @@ def replaced(source: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + source[end:]
 
 
-def redacted(df: DataFrame, key: str, source: str, placeholders: dict[str, str], frequent: frozenset[str] = frozenset(), names: NameWords = NameWords()) -> DataFrame:
+def redacted(df: DataFrame, key: str, source: str, placeholders: dict[str, str]) -> DataFrame:
     """(key, source): the texts with the placeholder of its kind in place of every mention, the rest unchanged; null stays null."""
 
+    weights = name_model.model()
+
     @F.pandas_udf(T.StringType())
     def redact(texts: pd.Series) -> pd.Series:
-        one = lambda t: replaced(t, [(m.start, m.end, placeholders.get(m.kind, f"[{m.kind.upper()}]")) for m in mentions(t, frequent, names)])
+        name_model.use(weights)
+        one = lambda t: replaced(t, [(m.start, m.end, placeholders.get(m.kind, f"[{m.kind.upper()}]")) for m in mentions(t)])
         return texts.map(one, na_action="ignore")
 
     return df.select(key, redact(F.col(source)).alias(source))
@@ -345,7 +329,7 @@ def redacted(df: DataFrame, key: str, source: str, placeholders: dict[str, str],
 
 def pseudonymised(df: DataFrame, key: str, source: str, secret: str) -> DataFrame:
     """(key, source): the texts with surrogates in place of the mentions, the rest unchanged. Keys are unique; null stays null."""
-    made = with_surrogates(all_mentions(df, key, source), key, secret).groupBy(key).agg(F.collect_list(F.struct("start_pos", "end_pos", "surrogate")).alias("_m"))
+    made = with_surrogates(personal_data(df, key, source), key, secret).groupBy(key).agg(F.collect_list(F.struct("start_pos", "end_pos", "surrogate")).alias("_m"))
 
     @F.pandas_udf(T.StringType())
     def put(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -355,10 +339,18 @@ def pseudonymised(df: DataFrame, key: str, source: str, secret: str) -> DataFram
     return rows.select(key, put(F.col(source), F.col("_m")).alias(source))
 
 
+KEY_SETTING = "spark.parlatrace.surrogateKey"
+
+
+def key_of(spark: SparkSession) -> str:
+    """The secret key of surrogates: the session's setting, or, where that is unset, a random one that lasts as long as the session."""
+    if not (key := spark.conf.get(KEY_SETTING, None)):
+        spark.conf.set(KEY_SETTING, key := token_hex(32))
+    return key
+
+
 def placeholders_of(pii_kinds: DataFrame, most: int = 1000) -> dict[str, str]:
     """kind to placeholder; the table holds settings, more than `most` rows end the query."""
     rows = pii_kinds.where("kind is not null and placeholder is not null").limit(most + 1).collect()
     assert len(rows) <= most, "too many kinds"
     return {r["kind"]: r["placeholder"] for r in rows}
-
-

@@ -1,4 +1,8 @@
-"""Finding personal data in the text of an HTML document: what it looks like, and what stands around it."""
+"""Finding personal data in the text of an HTML document: what it looks like, and what stands around it.
+
+Names written with capitals are found by the model in name_model, whatever the sentence; names in lower case, and single initials, by
+the phrases below that present, address or point at a person.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass
 
+from parlatrace.llm.name_model import GIVEN_NAMES, NO_PERSONS, PARTICLES, names_in, word_class
+
 # Words that no name, and no street name, is made of.
 FUNCTION_WORDS = frozenset(
     """a an the this that these those it its he him his she her hers they them their theirs we us our ours you your yours i me my mine who whom whose which what when where why how
@@ -179,33 +185,39 @@ _END = r"(?=\s*(?:[.,;:!?…\n/]|$))"
 _TITLE = r"(?:doctor|dr\.?|mr\.?|mrs\.?|ms\.?|miss|professor|prof\.?|sir|madam|herr|herrn|frau|fräulein|señora?|señorita|sr\.?a?\.?|don|doña|madame|monsieur|mme|signora?|dottoress?a?|senhora?|mevrouw|meneer|fru)"
 _KIN = r"(?:neighbou?r|colleague|boss|uncle|aunt|cousin|brother|sister|friend|wife|husband|son|daughter|nachbar(?:in)?|kollege|kollegin|chef(?:in)?|onkel|tante|bruder|schwester|vecin[oa]|herman[oa]|ti[oa]|prim[oa]|jef[ea]|voisine?|collègue)"
 _DOES = r"(?:signed|took over|takes over|saw|said|says|asked|told|wrote|called|agreed|answered|replied|explained|mentioned|thinks|hat|hatte|sagte|meinte|fragte|unterschrieb|firmó|dijo|dice|preguntó|llamó|escribió|a dit|a signé)"
-#: Patterns, each with strings of which at least one is in any text that it matches: most texts are spared most patterns.
+#: Patterns, each with the words it may begin with, in lower case: they are tried where one of these stands.
 _PERSONS = [
-    (re.compile(p, re.I), tuple(w.replace("_", " ") for w in needs.split()))
-    for p, needs in (
+    (re.compile(p, re.I), begin.split())
+    for p, begin in (
         # presented or addressed
         (rf"\b(?:interview|talk|conversation|meeting|gespräch|entrevista|entretien) (?:with|mit|con|a|avec) (?P<n>{_ONE}){_END}", "interview talk conversation meeting gespräch entrevista entretien"),
-        (rf"\b(?:thanks|thank you|danke|gracias|merci|hello|hallo|hola)(?:,| )+(?P<n>{_ONE}){_END}", "thank danke gracias merci hello hallo hola"),
-        (rf"{_START}(?P<n>{_ONE}), (?:could|can|would|will|please|do you|kannst|können|könnten|puede|podría|pourriez)\b", ",_could ,_can ,_would ,_will ,_please ,_do_you ,_kann ,_könn ,_puede ,_podr ,_pourr"),
-        (rf"\b(?:speaking is|my name is|this is|here is|i am called|ich heiße|mein name ist|hier spricht|me llamo|mi nombre es|je m['’]appelle) (?P<n>{_ONE})(?=,| (?:speaking|good|from|and)\b|\s*[.!?\n]|$)", "speaking_is name_is this_is here_is i_am_called ich_heiße hier_spricht me_llamo nombre_es m'appelle m’appelle"),
+        (rf"\b(?:thanks|thank you|danke|gracias|merci|hello|hallo|hola)(?:,| )+(?P<n>{_ONE}){_END}", "thanks thank danke gracias merci hello hallo hola"),
+        (rf"\b(?:speaking is|my name is|this is|here is|i am called|ich heiße|mein name ist|hier spricht|me llamo|mi nombre es|je m['’]appelle) (?P<n>{_ONE})(?=,| (?:speaking|good|from|and)\b|\s*[.!?\n]|$)", "speaking my this here i ich mein hier me mi je"),
         # titles and relations
-        (rf"\b{_TITLE} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|will|can|ist|war|wird|es|fue|está|and|und|y)\b|\s*[.,;:!?\n]|$)", "doctor dr._ dr_ mr._ mr_ mrs ms._ ms_ miss prof sir_ madam herr frau fräulein señor sr._ sr_ sr.a sra don_ doña monsieur mme signor dottor senhor mevrouw meneer fru_"),
-        (rf"\b(?:my|our|your|his|her|their|mein|meine|meiner|unser|unsere|mi|su|nuestr[oa]|mon|ma) {_KIN} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|ist|war|es|fue)\b|\s*[.,;:!?\n]|$)", "neighb colleague boss uncle aunt cousin brother sister friend wife husband son_ daughter nachbar kolleg chef onkel tante bruder schwester vecin herman tio_ tía tío tia_ prim jef voisin collègue"),
+        (rf"\b{_TITLE} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|will|can|ist|war|wird|es|fue|está|and|und|y)\b|\s*[.,;:!?\n]|$)", "doctor dr mr mrs ms miss professor prof sir madam herr herrn frau fräulein señor señora señorita sr sra don doña madame monsieur mme signor signora dottores dottoressa dottoresa senhor senhora mevrouw meneer fru"),
+        (rf"\b(?:my|our|your|his|her|their|mein|meine|meiner|unser|unsere|mi|su|nuestr[oa]|mon|ma) {_KIN} (?P<n>{_ONE})(?= {_DOES}\b|['’]s\b| (?:is|was|has|ist|war|es|fue)\b|\s*[.,;:!?\n]|$)", "my our your his her their mein meine meiner unser unsere mi su nuestro nuestra mon ma"),
         # pointed at
-        (rf"\b(?:that|it|this) (?:was|is) (?P<n>{_ONE})(?= on the (?:line|phone)\b|['’]s (?:idea|fault|turn|plan|job|suggestion|decision|voice|number|key|desk)\b| (?:who|again)\b)", "on_the_line on_the_phone 's_ ’s_ _who _again"),
-        (rf"\bdas (?:war|ist)(?: damals| doch| wohl| also)* (?P<n>{_ONE})(?=,? (?:wenn|falls|glaube|oder)\b| am (?:telefon|apparat)\b)", "das_war das_ist"),
-        (rf"\b(?:era|fue) (?P<n>{_ONE})(?= (?:al|quien)\b)", "era_ fue_"),
+        (rf"\b(?:that|it|this) (?:was|is) (?P<n>{_ONE})(?= on the (?:line|phone)\b|['’]s (?:idea|fault|turn|plan|job|suggestion|decision|voice|number|key|desk)\b| (?:who|again)\b)", "that it this"),
+        (rf"\bdas (?:war|ist)(?: damals| doch| wohl| also)* (?P<n>{_ONE})(?=,? (?:wenn|falls|glaube|oder)\b| am (?:telefon|apparat)\b)", "das"),
+        (rf"\b(?:era|fue) (?P<n>{_ONE})(?= (?:al|quien)\b)", "era fue"),
         # asked, told
-        (rf"\b(?:i|we|he|she|they|you) (?:have |had )?(?:asked|told|called|met|thanked|warned|phoned|invited|rang) (?P<n>{_ONE})(?= (?:about|to|for|if|whether|that|yesterday|again)\b|\s*[.!?\n]|$)", "asked told called met_ thanked warned phoned invited rang"),
-        (rf"\b(?:ich|wir|er|sie) (?:habe|haben|hat) (?P<n>{_ONE})(?= (?:danach |das |schon |gestern )?(?:gefragt|angerufen|getroffen|gebeten|gesehen|eingeladen)\b)", "gefragt angerufen getroffen gebeten gesehen eingeladen"),
-        (rf"\ble (?:pregunté|dije|pedí|conté) a (?P<n>{_ONE})(?= (?:y|que|si|por)\b|\s*[.,!?\n]|$)", "le_pregunté le_dije le_pedí le_conté"),
+        (rf"\b(?:i|we|he|she|they|you) (?:have |had )?(?:asked|told|called|met|thanked|warned|phoned|invited|rang) (?P<n>{_ONE})(?= (?:about|to|for|if|whether|that|yesterday|again)\b|\s*[.!?\n]|$)", "i we he she they you"),
+        (rf"\b(?:ich|wir|er|sie) (?:habe|haben|hat) (?P<n>{_ONE})(?= (?:danach |das |schon |gestern )?(?:gefragt|angerufen|getroffen|gebeten|gesehen|eingeladen)\b)", "ich wir er sie"),
+        (rf"\ble (?:pregunté|dije|pedí|conté) a (?P<n>{_ONE})(?= (?:y|que|si|por)\b|\s*[.,!?\n]|$)", "le"),
         # doing
-        (rf"\b(?:later|then|afterwards|finally|yesterday),? (?P<n>{_ONE})(?= {_DOES}\b)", "later then after finally yesterday"),
-        (rf"{_START}(?P<n>{_ONE})(?= {_DOES} (?:the|it|us|me|that|over|das|la|el)\b)", "signed took_over takes_over _saw _said _says asked told wrote called agreed answered replied explained mentioned thinks _hat hatte sagte meinte fragte unterschrieb firmó dijo dice preguntó llamó escribió a_dit a_signé"),
-        (rf"\b(?:nobody|no one|everyone|everybody|anyone|niemand|nadie|todos) (?:but|except|außer|salvo|menos) (?P<n>{_ONE})(?= (?:had|has|knew|knows|was|came|hatte|tenía|sabía)\b|\s*[.,!?\n]|$)", "_but_ _except_ _außer_ _salvo_ _menos_"),
-        (rf"\b(?:we|they|i) had (?P<n>{_ONE})(?= in the (?:room|office|house|studio|meeting)\b)", "in_the_room in_the_office in_the_house in_the_studio in_the_meeting"),
-        (rf"\band (?:later|then|afterwards|also) (?P<n>{_ONE})(?=\s*[.!?\n/]|$)", "and_later and_then and_after and_also"),
-        (rf"{_START}(?P<n>{_ONE}) and (?P<m>{_ONE})(?= (?:were|are|have|had) both\b)", "_both"),
+        (rf"\b(?:later|then|afterwards|finally|yesterday),? (?P<n>{_ONE})(?= {_DOES}\b)", "later then afterwards finally yesterday"),
+        (rf"\b(?:nobody|no one|everyone|everybody|anyone|niemand|nadie|todos) (?:but|except|außer|salvo|menos) (?P<n>{_ONE})(?= (?:had|has|knew|knows|was|came|hatte|tenía|sabía)\b|\s*[.,!?\n]|$)", "nobody no everyone everybody anyone niemand nadie todos"),
+        (rf"\b(?:we|they|i) had (?P<n>{_ONE})(?= in the (?:room|office|house|studio|meeting)\b)", "we they i"),
+        (rf"\band (?:later|then|afterwards|also) (?P<n>{_ONE})(?=\s*[.!?\n/]|$)", "and"),
+    )
+]
+#: Patterns that begin with the name itself, each with what stands behind it: they are tried around that.
+_LED_BY_NAME = [
+    (re.compile(rf"{_START}{name}(?={tail})", re.I), re.compile(rf"(?<=[\w.])(?={sign})", re.I))
+    for name, tail, sign in (
+        (rf"(?P<n>{_ONE})", *[r", (?:could|can|would|will|please|do you|kannst|können|könnten|puede|podría|pourriez)\b"] * 2),
+        (rf"(?P<n>{_ONE})", *[rf" {_DOES} (?:the|it|us|me|that|over|das|la|el)\b"] * 2),
+        (rf"(?P<n>{_ONE}) and (?P<m>{_ONE})", *[r" (?:were|are|have|had) both\b"] * 2),
     )
 ]
 #: In text without punctuation a name at a sentence's edge is bounded on one side only; on the other it goes on as long as the words aren't frequent ones.
@@ -228,7 +240,7 @@ class Mention:
 def _named(text: str) -> bool:
     """Whether words may be a person's name: none is a function word, and they aren't just a loose letter."""
     parts = text.split()
-    if any(p.lower().strip(".") in FUNCTION_WORDS for p in parts if len(p.strip(".")) > 1):
+    if any(p.lower().strip(".") in FUNCTION_WORDS and not (0 < i < len(parts) - 1 and p in PARTICLES) for i, p in enumerate(parts) if len(p.strip(".")) > 1):
         return False
     if any(len(p) == 1 and (p.lower() in "aiyoeu" or len(parts) == 1) and p.islower() and len(parts) == 1 for p in parts):
         return False
@@ -242,16 +254,7 @@ def _caseless(text: str, position: int) -> bool:
     return line[head.end() if head else 0 :].islower()
 
 
-@dataclass(frozen=True)
-class NameWords:
-    """Frequent words that the transcripts also use as names, seen where both edges of a name are known."""
-
-    used: frozenset[str] = frozenset()  # anywhere in a name
-    begins: frozenset[str] = frozenset()  # before another word of it
-    ends: frozenset[str] = frozenset()  # behind another word of it
-
-
-def _name_length(words: list[str], back: bool, beyond: list[str], frequent: frozenset[str], names: NameWords) -> int:
+def _name_length(words: list[str], back: bool, beyond: list[str]) -> int:
     """How many of the words, in order from the bounded edge of a name, belong to it. beyond: the word next to each in reading order (before it if back, else behind it)."""
 
     def letter(w: str) -> bool:
@@ -263,11 +266,9 @@ def _name_length(words: list[str], back: bool, beyond: list[str], frequent: froz
             return len(w) > 2 and bool(re.fullmatch(_PART, w))
         if w in FUNCTION_WORDS or letter(w):
             return False
-        if w not in frequent:
-            return True
         if beyond[k] in _ARTICLES and (back or k == 0) or not back and _PLACE_AFTER.match(" " + beyond[k]):
             return False  # 'in the dale', 'mark the date', 'brackworth station'
-        return w in (names.used if k == 0 else names.begins if back else names.ends)
+        return w in GIVEN_NAMES or word_class(w) != "common" and w not in NO_PERSONS
 
     n = k = 0
     while k < min(len(words), 3):
@@ -276,7 +277,7 @@ def _name_length(words: list[str], back: bool, beyond: list[str], frequent: froz
             n = k + 1
         elif not letter(w):
             break
-        elif w not in FUNCTION_WORDS and (back and n or w not in frequent):
+        elif w not in FUNCTION_WORDS and (back and n or word_class(w) != "common"):
             n = k + 1  # an initial before what is a name already
         elif not (k + 1 < min(len(words), 3) and may(k + 1)) or w in FUNCTION_WORDS and not n:
             break  # a letter counts between two words of a name, or as an initial before one
@@ -300,23 +301,23 @@ def _edges(text: str) -> list[tuple[str, int, list[re.Match], re.Match]]:
     return found
 
 
-def _unbounded(text: str, frequent: frozenset[str], names: NameWords = NameWords()) -> list[tuple[int, int]]:
-    """Spans of names in lines without case and punctuation, where a name's one edge is told by how words are used over all transcripts.
+def _unbounded(text: str) -> list[tuple[int, int]]:
+    """Spans of names in lines without case and punctuation, where a name's one edge is told by the words themselves.
 
-    A frequent word ends the name unless it is used in names elsewhere, as such a part of one, and isn't next to an article. Initials go with their name.
+    A common word ends the name unless it is a given name and isn't next to an article. Initials go with their name.
     """
     found = []
     for _, at, words, m in _edges(text):
         if m.re is _OPEN_RIGHT:
             stop = next((k + 1 for k, w in enumerate(words) if w[0][-1] in "./"), len(words))
             bare = [w[0].strip("./") for w in words]
-            n = _name_length(bare[:stop], False, [*bare[1:stop], "", ""], frequent, names)
+            n = _name_length(bare[:stop], False, [*bare[1:stop], "", ""])
             if n:
                 last = words[n - 1]
                 found.append((at + m.end(), at + last.start() + len(last[0].rstrip("./"))))
         else:
             bare = [w[0] for w in words]
-            n = _name_length(bare, True, [*bare[1:], ""], frequent, names)
+            n = _name_length(bare, True, [*bare[1:], ""])
             if n:
                 found.append((at + words[n - 1].start(), at + m.start()))
             if m["m"] and _named(m["m"]):
@@ -324,6 +325,29 @@ def _unbounded(text: str, frequent: frozenset[str], names: NameWords = NameWords
     return found
 
 
+_PERSONS_AT = [p for p, _ in _PERSONS]
+#: Word to the patterns that may begin with it.
+_BEGINNING: dict[str, list[re.Pattern]] = {}
+for _pattern, _begin in [
+    *_PERSONS, (_SPOKEN, NUMBER_WORDS.split("|")), (_ADDRESSES[2], "am im an auf zum zur unter in".split()),
+    (_ADDRESSES[3], "calle avenida avda plaza paseo camino ronda travesía rua praça travessa via viale piazza corso vicolo".split()),
+]:
+    for _word in _begin:
+        _BEGINNING.setdefault(_word, []).append(_pattern)
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _anchored(text: str) -> dict[re.Pattern, list[re.Match]]:
+    """The matches of the patterns that begin with a known word, left to right, none within another: one scan for all of them."""
+    found: dict[re.Pattern, list[re.Match]] = {p: [] for p in (*_PERSONS_AT, _SPOKEN, _ADDRESSES[2], _ADDRESSES[3])}
+    for word in _LETTERS.finditer(text):
+        for pattern in _BEGINNING.get(word[0].lower(), ()):
+            before = found[pattern]
+            if (not before or before[-1].end() <= word.start()) and (m := pattern.match(text, word.start())):
+                before.append(m)
+    return found
+
+
 def _digits(text: str) -> int:
     return sum(c.isdigit() for c in text)
 
@@ -340,17 +364,15 @@ def _number_kind(text: str, a: int, b: int, kind: str | None, count: int) -> str
     return kind or ("id_number" if count in (9, 11) else "phone")
 
 
-def spans(text: str, frequent: frozenset[str] = frozenset(), names: NameWords = NameWords(), bounded: bool = False) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the personal data in a plain text, in order, none within another.
-
-    frequent: words too common for a name, unless they are among `names`. bounded: without the names that have an open edge.
-    """
+def spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of the personal data in a plain text, in order, none within another. Nothing but the text decides."""
     found: list[tuple[int, str, int, int]] = []
     found += [(0, "email", m.start(), m.end()) for m in _around(_MAIL, [m.span() for m in _MAIL_SIGN.finditer(text)], text, 120, 200)]
+    at = _anchored(text)
     street_signs = _street_signs(text)
     for pattern in _ADDRESSES:
         by_sign = pattern in (_ADDRESSES[1], _ADDRESSES[5])
-        for m in _around(pattern, street_signs, text, 60, 12) if by_sign else pattern.finditer(text):
+        for m in _around(pattern, street_signs, text, 60, 12) if by_sign else at[pattern] if pattern in at else pattern.finditer(text):
             name = [w.lower() for w in m["name"].split()]
             street = name[1:] if pattern is not _ADDRESSES[0] else name
             if pattern is _ADDRESSES[0] and any(w in FUNCTION_WORDS and w not in ("old", "new", "first", "second", "third") for w in street):
@@ -364,20 +386,22 @@ def spans(text: str, frequent: frozenset[str] = frozenset(), names: NameWords =
         kind = _number_kind(text, m.start(), m.end(), "phone" if m["phone"] else "id_number", _digits(m[0]))
         if kind:
             found.append((2, kind, m.start(), m.end()))
-    for m in _SPOKEN.finditer(text):
+    for m in at[_SPOKEN]:
         words = m[0].lower().replace(",", " ").replace("-", " ").split()
         count = len([w for w in words if w not in ("double", "triple", "doble", "plus", "más")])
         kind = _number_kind(text, m.start(), m.end(), None, count)
         if kind:
             found.append((2, kind, m.start(), m.end()))
-    low = text.lower()
-    for pattern, needs in _PERSONS:
-        for m in pattern.finditer(text) if any(w in low for w in needs) else ():
-            for g in ("n", "m") if "m" in pattern.groupindex else ("n",):
-                a, b = m.span(g)
-                if _named(text[a:b]) and not _PLACE_AFTER.match(text, b):
-                    found.append((3, "name", a, b))
-    found += [(4, "name", a, b) for a, b in ([] if bounded else _unbounded(text, frequent, names))]
+    for m in [m for p in _PERSONS_AT for m in at[p]] + [m for p, sign in _LED_BY_NAME for m in _around(p, [(x.start() - 1, x.start()) for x in sign.finditer(text)], text, 160, 40)]:
+        for g in ("n", "m") if "m" in m.re.groupindex else ("n",):
+            a, b = m.span(g)
+            if text[a].isupper():  # what is written small behind a name with a capital goes on with the sentence
+                while (k := text.rfind(" ", a, b)) > 0 and text[k + 1 : b].islower() and word_class(text[k + 1 : b]) == "common":
+                    b = k
+            if _named(text[a:b]) and not _PLACE_AFTER.match(text, b):
+                found.append((3, "name", a, b))
+    found += [(4, "name", a, b) for a, b in _unbounded(text)]
+    found += [(5, "name", a, b) for a, b in names_in(text) if _named(text[a:b]) and not _PLACE_AFTER.match(text, b)]
     found.sort(key=lambda x: (x[0], x[2] - x[3], x[2]))
     taken: list[tuple[str, int, int]] = []
     for _, kind, a, b in found:
@@ -386,19 +410,9 @@ def spans(text: str, frequent: frozenset[str] = frozenset(), names: NameWords =
     return sorted(taken, key=lambda x: x[1])
 
 
-def _mentions(plain: Plain, found: list[tuple[str, int, int]]) -> list[Mention]:
-    return [Mention(kind, plain.place(a), plain.place(b - 1) + 1, plain.text[a:b]) for kind, a, b in found]
-
-
-def mentions(source: str | None, frequent: frozenset[str] = frozenset(), names: NameWords = NameWords()) -> list[Mention]:
+def mentions(source: str | None) -> list[Mention]:
     """The personal data in an HTML document; null and empty sources have none."""
     if not source:
         return []
     plain = Plain(source)
-    return _mentions(plain, spans(plain.text, frequent, names))
-
-
-def bounded_only(source: str) -> tuple[bool, list[Mention]]:
-    """The mentions that need no knowledge of other documents, and whether names with an open edge may come on top."""
-    plain = Plain(source)
-    return bool(_edges(plain.text)), _mentions(plain, spans(plain.text, bounded=True))
+    return [Mention(kind, plain.place(a), plain.place(b - 1) + 1, plain.text[a:b]) for kind, a, b in spans(plain.text)]

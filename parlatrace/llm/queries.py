@@ -18,7 +18,6 @@ from parlatrace.session import cut, spread
 
 TOLERANCE_MS = 500
 FOUND_CHARS = 2000
-SECRET = "change this key"
 
 
 def _bounds(rows, no: str, start: Column, end: Column):
@@ -57,7 +56,7 @@ def _p2(s, d):
 
 def p2_mentions(s, d):
     """Every mention with its surrogate."""
-    return pii.with_surrogates(pii.all_mentions(_p2(s, d), "payload_id", "transcript_html"), "payload_id", SECRET)
+    return pii.with_surrogates(pii.personal_data(_p2(s, d), "payload_id", "transcript_html"), "payload_id", pii.key_of(s))
 
 
 def p2_found(s, d):
@@ -67,15 +66,12 @@ def p2_found(s, d):
 
 def p2_redacted(s, d):
     """The transcripts with placeholders."""
-    payloads = _p2(s, d)
-    frequent = pii.frequent_words(payloads, "transcript_html")
-    names = pii.name_words_of(pii.bounded_mentions(payloads, "payload_id", "transcript_html"), frequent)
-    return pii.redacted(payloads, "payload_id", "transcript_html", pii.placeholders_of(t.table(s, d, "pii_kinds")), frequent, names)
+    return pii.redacted(_p2(s, d), "payload_id", "transcript_html", pii.placeholders_of(t.table(s, d, "pii_kinds")))
 
 
 def p2_pseudonymised(s, d):
     """The transcripts with surrogates."""
-    return pii.pseudonymised(_p2(s, d), "payload_id", "transcript_html", SECRET)
+    return pii.pseudonymised(_p2(s, d), "payload_id", "transcript_html", pii.key_of(s))
 
 
 def p4_pieces(s, d):

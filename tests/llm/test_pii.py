@@ -131,27 +131,20 @@ def test_redacted(spark, rows):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert pii.with_surrogates(pii.personal_data(df, "payload_id", "transcript_html"), "payload_id", "key").count() == 0
-    assert pii.frequent_words(df, "transcript_html") == frozenset()
-
-
-def test_frequent_words(spark):
-    df = spark.createDataFrame([(1, "<p class='x'>the The the</p> " * 5 + "rare"), (2, None)], SCHEMA)
-    assert pii.frequent_words(df, "transcript_html", 4) == {"the"}
 
 
 def test_names_without_punctuation():
-    frequent = frozenset("the garden they said it out read that could you in room later and were both on leave".split())
     text = "the garden torr lee could you read that out\nit in the room and later ann torr they said it\nthe garden ann lee and torr were both on leave"
-    assert [m.value for m in mentions(text, frequent)] == ["torr lee", "ann torr", "ann lee", "torr"]
+    assert [m.value for m in mentions(text)] == ["torr lee", "ann torr", "ann lee", "torr"]
 
 
-def test_frequent_words_that_are_names(spark):
+def test_common_words_that_are_names(spark):
     places = "<p>{} they parked outside brackworth station and down in the dale again.</p>"
     texts = [(i, places.format("so " * i)) for i in range(12)] + [(20, "<p>Doctor Dale Brackworth signed the sheet.</p>"), (21, "<p>the first marquin m brackworth could you read that out</p>")]
     texts += [(22, "<p>thanks dale brackworth the second</p>"), (23, "<p>down in the dale torr lee could you read that out</p>"), (24, "<p>outside brackworth station could you stop</p>"), (25, "<p>thanks brackworth station it is</p>")]
     texts += [(30 + i, "<p>i saw zimiak there zimiak could you read that out</p>") for i in range(12)]  # one transcript sent again
     m = {}
-    for r in pii.all_mentions(spark.createDataFrame(texts, SCHEMA), "payload_id", "transcript_html").collect():
+    for r in pii.personal_data(spark.createDataFrame(texts, SCHEMA), "payload_id", "transcript_html").collect():
         m.setdefault(r.payload_id, []).append(r.value)
     assert {k: m.get(k) for k in range(20, 26)} == {20: ["Dale Brackworth"], 21: ["marquin m brackworth"], 22: ["dale brackworth"], 23: ["torr lee"], 24: None, 25: None}
     assert all(m[30 + i] == ["zimiak"] for i in range(12))
@@ -195,11 +188,11 @@ KIN = "neighbor neighbour colleague boss uncle aunt cousin brother sister friend
 
 
 @pytest.mark.parametrize("text", [*(f"Then {t.capitalize()} Torr signed it." for t in TITLES), *(f"So my {k} Torr signed it." for k in KIN)])
-def test_prefilter_agrees_with_plain_scanning(text):
+def test_anchored_scan_agrees_with_plain_scanning(text):
     from parlatrace.llm import pii_rules
 
-    plain = [p.pattern for p, needs in pii_rules._PERSONS if p.search(text) and not any(w in text.lower() for w in needs)]
-    assert not plain
+    at = pii_rules._anchored(text)
+    assert {p.pattern: [m.span() for m in p.finditer(text)] for p in at} == {p.pattern: [m.span() for m in found_] for p, found_ in at.items()}
 
 
 @pytest.mark.parametrize("at", [" at ", " ät ", " arroba ", " (at) ", "[at]", "@"])
@@ -210,3 +203,23 @@ def test_mail_signs_agree_with_plain_scanning(at, dot, host):
 
     text = f"Mail anna{at}{host}{dot}de, please."
     assert [m[0] for m in pii_rules._MAIL.finditer(text)] == [text[a:b] for k, a, b in pii_rules.spans(text) if k == "email"] != []
+
+
+def test_addresses_and_mail_keep_identity_and_format():
+    full, short = "12 Old Mill Street", "12 old mill st."
+    assert pii.identity_of("address", full) == pii.identity_of("address", short)
+    a, b = pii.surrogate("address", full, "key"), pii.surrogate("address", short, "key")
+    assert a.lower().split()[:3] == b.split()[:3] and a.endswith("Street") and b.endswith("st.") and a != full
+    one, two = (pii.surrogate("email", v, "key") for v in ("ann.lee_42@host.test", "ann dot lee underscore 42 at host dot test"))
+    assert re.fullmatch(r"[a-z]+\.[a-z]+_\d\d@[a-z]+\.example", one) and re.fullmatch(r"[a-z]+ dot [a-z]+ underscore \d\d at [a-z]+ dot example", two)
+    assert pii.identity_of("email", one) == pii.identity_of("email", two)
+
+
+def test_names_get_room():
+    made = {pii.surrogate("name", f"Name{'abcdefghij'[i % 10]}{i}", "key", attempt=pii.LAST_ATTEMPT) for i in range(20_000)}
+    assert len(made) == 20_000 and not any("[" in m for m in made)
+
+
+def test_the_key_is_the_sessions(spark):
+    key = pii.key_of(spark)
+    assert len(key) == 64 and pii.key_of(spark) == key
