@@ -25,14 +25,14 @@ def str_to_ms(text: Column, strict: bool = False) -> Column:
 
 
 def ms_to_str(ms: Column, include_ms: bool = False, strict: bool = False) -> Column:
-    """'HH:MM:SS', or 'HH:MM:SS.mmm'. Defined from 0 to 24:00:00 inclusive: other values give null, or end the query where strict."""
+    """'HH:MM:SS', or 'HH:MM:SS.mmm'; hours go on beyond 24, since recordings run for days. Below zero gives null. strict: what is outside 0 to 24:00:00 ends the query."""
     inside = ms.between(0, DAY_MS)
     hours, rest = F.floor(ms / F.lit(3_600_000)), F.pmod(ms, F.lit(3_600_000))
     minutes, seconds, millis = F.floor(rest / 60_000), F.floor(F.pmod(ms, F.lit(60_000)) / 1000), F.pmod(ms, F.lit(1000))
     text = F.format_string("%02d:%02d:%02d.%03d", hours, minutes, seconds, millis) if include_ms else F.format_string("%02d:%02d:%02d", hours, minutes, seconds)
     if strict:
         return F.when(ms.isNull(), F.lit(None).cast("string")).when(inside, text).otherwise(F.raise_error(F.concat(F.lit("outside a day: "), ms.cast("string"))).cast("string"))
-    return F.when(inside, text)
+    return F.when(ms >= 0, text)
 
 
 def ms_to_webvtt(ms: Column, strict: bool = False) -> Column:

@@ -29,9 +29,10 @@ OPTIONS = """opts as (select job_id, coalesce(start_ms, 0) as start_ms, coalesce
 
 
 def clock(ms: str, cue: bool = False) -> str:
-    text = f"lpad(cast(({ms}) // 3600000 as varchar), 2, '0') || ':' || lpad(cast(({ms}) // 60000 % 60 as varchar), 2, '0') || ':' || lpad(cast(({ms}) // 1000 % 60 as varchar), 2, '0')"
-    text += f" || '.' || lpad(cast(({ms}) % 1000 as varchar), 3, '0')" if cue else ""
-    return f"case when ({ms}) between 0 and 86400000 then {text} end"
+    """Hours go on beyond 24; a cue's time is zero at least."""
+    if cue:
+        return f"printf('%02d:%02d:%02d.%03d', greatest(0, {ms}) // 3600000, greatest(0, {ms}) // 60000 % 60, greatest(0, {ms}) // 1000 % 60, greatest(0, {ms}) % 1000)"
+    return f"case when ({ms}) >= 0 then printf('%02d:%02d:%02d', ({ms}) // 3600000, ({ms}) // 60000 % 60, ({ms}) // 1000 % 60) end"
 
 
 def fold(rows: str, test: str, last: str) -> str:
@@ -124,7 +125,7 @@ ORACLE = {
     "language_codes": """with v as (select lower(code) as v, code, 0 as r from languages union all select lower(name), code, 1 from languages), u as (select v, first(code order by r, code) as code from v group by v)
  select job_id, code as language_code, case when lower(code) not in ('multilingual', 'auto') then lower(code) end as language, lower(code) = 'multilingual' as multilingual, lower(code) = 'auto' as detect from jobs left join u on lower(trim(language_name)) = v""",
     "speaker_labels": f"select job_id, turn_no, {speaker_of_sql('label')} as speaker from (select distinct job_id, turn_no, label from turns)",
-    "clock_times": f"""with {SEG} select job_id, seg_no, {clock("s")} as clock, {clock("s", True)} as cue_time, case when s between 0 and 86400000 then s // 1000 * 1000 end as back_ms,
+    "clock_times": f"""with {SEG} select job_id, seg_no, {clock("s")} as clock, case when s >= 0 then {clock("s", True)} end as cue_time, case when s >= 0 then s // 1000 * 1000 end as back_ms,
  case when s >= 0 then (s // 60000) || ':' || lpad(cast(s // 1000 % 60 as varchar), 2, '0') end as minutes from timed""",
     "file_times": f"""select job_id, strftime(try_strptime(regexp_extract(audio_file, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}_[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})[^/]*$', 1), '%Y-%m-%d_%H-%M-%S'), '%Y-%m-%dT%H:%M:%SZ') as recorded_at,
  {STEM.format("audio_file")} as stem, regexp_extract(audio_file, '[^/](\\.[^./]*)$', 1) as suffix from jobs""",

@@ -30,10 +30,11 @@ def _joined(rows: DataFrame, line: Column, order: str) -> DataFrame:
 
 
 def vtt_cues(document: DataFrame) -> DataFrame:
-    """One WebVTT cue per document row (document_rows): number, times, voice, text."""
+    """One WebVTT cue per document row (document_rows): number, times (those below zero written as zero), voice, text. No row goes without a cue."""
+    time = lambda c: ms_to_webvtt(F.greatest(F.lit(0), F.col(c)))
     text = F.concat(
-        F.col("cue_no").cast("string"), F.lit("\n"), ms_to_webvtt(F.col("start_ms")), F.lit(" --> "), ms_to_webvtt(F.col("end_ms")), F.lit("\n<v "), F.col("speaker"), F.lit(">"),
-        F.regexp_replace(vtt_escape(F.col("text")), r"^\s+", ""), F.lit("\n\n"),
+        F.col("cue_no").cast("string"), F.lit("\n"), time("start_ms"), F.lit(" --> "), time("end_ms"), F.lit("\n<v "), F.coalesce("speaker", F.lit("")), F.lit(">"),
+        F.regexp_replace(vtt_escape(F.coalesce("text", F.lit(""))), r"^\s+", ""), F.lit("\n\n"),
     )
     return document.select("job_id", "cue_no", text.alias("cue"))
 

@@ -19,7 +19,8 @@ def test_str_to_ms(spark):
 
 
 def test_ms_to_str(spark):
-    assert one(spark, M.ms_to_str, "bigint", 3600000, 0, 86400000, 86400001, -1000, None, 59999) == ["01:00:00", "00:00:00", "24:00:00", None, None, None, "00:00:59"]
+    assert one(spark, M.ms_to_str, "bigint", 3600000, 0, 86400000, 86400001, -1000, None, 59999) == ["01:00:00", "00:00:00", "24:00:00", "24:00:00", None, None, "00:00:59"]
+    assert one(spark, M.ms_to_str, "bigint", 30 * 3600000 + 61000, 400 * 3600000) == ["30:01:01", "400:00:00"]
     assert one(spark, lambda c: M.ms_to_str(c, True), "bigint", 1250, 60250) == ["00:00:01.250", "00:01:00.250"]
     assert one(spark, M.ms_to_webvtt, "bigint", 60250) == ["00:01:00.250"]
     with pytest.raises(Exception, match="outside a day"):
