@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parlatrace.functions.time import seconds_to_ms
-from parlatrace.session import scratch_dir
+from parlatrace.session import scratch
 
 
 def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -23,7 +22,7 @@ def table_stream(spark: SparkSession, directory: str, name: str, files_per_trigg
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there (availableNow), with checkpoint and output in the shared folder, and return what it wrote."""
     spark = stream.sparkSession
-    at = f"{scratch_dir(spark)}/parlatrace/stream-{name}-{uuid.uuid4().hex}"
+    at = scratch(spark, f"stream-{name}")
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")

@@ -80,3 +80,33 @@ def test_clip_and_messages(spark, rows):
     assert rows(readers.clipped(df, F.lit(10), F.lit(20))) == [(10, 20)]
     log = spark.createDataFrame([("log", "x"), ("segment", "y"), (None, "z")], "type string, msg string")
     assert rows(readers.messages(log, "segment")) == [("segment", "y")]
+
+
+def test_no_cue_is_lost_after_a_day(spark):
+    from parlatrace.sources import writers
+
+    hour = 3_600_000
+    rows = [(1, i, i, s, s + 1500, "S01", f"t{i}", "para" if i == 1 else "same", 1, "a", f"t{i}") for i, s in ((1, -500), (2, 0), (3, 23 * hour), (4, 24 * hour + 1), (5, 30 * hour))]
+    document = spark.createDataFrame(rows, "job_id bigint, out_no bigint, cue_no bigint, start_ms bigint, end_ms bigint, speaker string, text string, action string, para_no bigint, anchor string, html string")
+    cues = [r.cue for r in writers.vtt_cues(document).orderBy("cue_no").collect()]
+    assert [c.split("\n")[1].split(" ")[0] for c in cues] == ["00:00:00.000", "00:00:00.000", "23:00:00.000", "24:00:00.001", "30:00:00.000"]
+    heads = spark.createDataFrame([(1, "title", "info", "m.wav")], "job_id bigint, title string, info string, media string")
+    body = "".join(r.body for r in writers.rendered(document, heads, "vtt").orderBy("part").collect())
+    assert body.count(" --> ") == 5
+
+
+def test_scratch(spark):
+    import os
+    from types import SimpleNamespace as Made
+
+    from parlatrace import session
+
+    rows = session.cut(spark.range(3), "numbers")
+    (path,) = {f.rsplit("/", 1)[0].removeprefix("file://") for f in rows.inputFiles()}
+    assert rows.count() == 3 and os.path.isdir(path) and spark.sparkContext.applicationId in path
+    session.clear_scratch(spark, path)
+    assert not os.path.exists(path)
+    unset = lambda master: Made(sparkContext=Made(master=master, getConf=lambda: {}), conf={})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_dir(unset("yarn"))
+    assert os.path.isdir(session.scratch_dir(unset("local[2]")))
