@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -15,6 +15,8 @@ NUMBER_WORDS = _UNITS + [t + ("-" + _UNITS[u] if u else "") for t in _TENS for u
 #: What a label may be made of once lowered and in plain digits: a word, a separator, a number (an O standing for a zero).
 NUMBERED = r"^\p{L}*?[\s_.#-]*(o?[0-9][0-9o]*)$"
 WORDED = r"^\p{L}+[\s_-]+([a-z]+(?:-[a-z]+)?)$"
+#: The same with what may stand around it: overlap marks, brackets, a colon.
+_NUMBERED_WHOLE, _WORDED_WHOLE = (rf"^ *(?:/+\s*\[?|\[)? *{p[1:-1]}[\s:\]/]*$" for p in (NUMBERED, WORDED))
 _WIDE, _PLAIN = "０１２３４５６７８９\u00a0\u2007\u202f", "0123456789   "
 
 
@@ -24,14 +26,19 @@ def speaker_of(label: Column) -> Column:
     Full-width digits and no-break spaces count as plain ones, leading zeros and overlap marks don't count. A label that tells
     no number (null, empty, 'UNKNOWN', 'noise') gives null.
     """
-    flat = F.trim(F.lower(F.translate(label, _WIDE, _PLAIN)))
-    core = F.trim(F.regexp_replace(flat, r"^/+\s*\[?|^\[|[\s:\]/]+$", ""))
-    # each step reads the one before once, since an expression that is read twice is worked out twice
-    digits = F.regexp_replace(F.translate(F.regexp_extract(core, NUMBERED, 1), "o", "0"), "^0+(?=.)", "")
+    flat = F.lower(F.translate(label, _WIDE, _PLAIN))
+    # An expression that is read twice is worked out twice, so each step reads the one before once. Lambdas and nullif would keep plans that
+    # read the same labels from sharing a shuffle, so what isn't found is null by its place in an array.
+    digits = F.regexp_replace(F.translate(F.get(F.regexp_extract_all(flat, F.lit(_NUMBERED_WHOLE), 1), F.lit(0)), "o", "0"), "^0+(?=.)", "")
     numbered = F.regexp_replace(F.concat(F.lit("S0"), digits), "^S0(?=[0-9]{2})", "S")
-    table = F.array(*[F.lit(w) for w in NUMBER_WORDS])
-    worded = F.format_string("S%02d", F.nullif(F.array_position(table, F.regexp_extract(core, WORDED, 1)), F.lit(0)) - 1)
-    return F.coalesce(F.nullif(numbered, F.lit("S0")), F.when(core.rlike(WORDED), F.nullif(worded, F.lit("Snull"))))
+    word = F.get(F.regexp_extract_all(flat, F.lit(_WORDED_WHOLE), 1), F.lit(0))
+    place = F.array_position(F.array(*[F.lit(w) for w in NUMBER_WORDS]), word).cast("int")
+    return F.coalesce(numbered, F.get(F.array(*[F.lit(f"S{n:02d}") for n in range(len(NUMBER_WORDS))]), place - 1))
+
+
+def with_speaker(df: DataFrame, label: str = "label", name: str = "speaker") -> DataFrame:
+    """df without its label but with the speaker it names, worked out once a row: a generated column, which no filter on it is pushed through."""
+    return df.select(*[c for c in df.columns if c != label], F.explode(F.array(speaker_of(F.col(label)))).alias(name))
 
 
 def speaker_of_sql(label: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlatrace.functions.labels import speaker_of
+from parlatrace.functions.labels import with_speaker
 from parlatrace.functions.time import seconds_to_ms
 
 BUCKET_MS = 60_000
@@ -20,18 +20,17 @@ def timed_segments(segments: DataFrame) -> DataFrame:
 
 def named_turns(turns: DataFrame) -> DataFrame:
     """Turns with both bounds whose label names a speaker: (job_id, turn_no, start_ms, end_ms, speaker)."""
-    return turns.select("job_id", "turn_no", "start_ms", "end_ms", speaker_of(F.col("label")).alias("speaker")).where(
-        "job_id is not null and start_ms is not null and end_ms is not null and speaker is not null"
-    )
+    whole = turns.select("job_id", "turn_no", "start_ms", "end_ms", "label").where("job_id is not null and start_ms is not null and end_ms is not null")
+    return with_speaker(whole).where("speaker is not null")
 
 
-def attribute(segments: DataFrame, turns: DataFrame, threshold: float = 0.8, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def attribute(segments: DataFrame, turns: DataFrame, threshold: float = 0.8, bucket_ms: int = BUCKET_MS, texts: bool = True) -> DataFrame:
     """Segments (as timed_segments) with their speaker ('' where none) and whether the speech overlaps.
 
     A turn's share is (overlap + 1) / length of the segment, touching included. Of the turns with a share of at least the
     threshold the shortest wins, the earliest of equals; it counts as overlapping if another of them came first. Without such a
     turn the largest share wins, the earliest of equals. Segments of no or negative length get ''. Turns are taken in order of
-    start, then of number. Repeated turns change nothing.
+    start, then of number. Repeated turns change nothing. Without texts the column text is left out.
 
     Both sides meet in buckets of time, so that a long recording spreads; a pair is looked at in the first bucket both have.
     """
@@ -41,7 +40,7 @@ def attribute(segments: DataFrame, turns: DataFrame, threshold: float = 0.8, buc
         F.explode(F.sequence(first("start_ms"), first("end_ms"))).alias("t_bucket"),
     )
     usable = F.col("end_ms") > F.col("start_ms")
-    seg = segments.select("job_id", "seg_no", "start_ms", "end_ms", "text", F.explode(F.when(usable, F.sequence(first("start_ms"), first("end_ms"))).otherwise(F.array(first("start_ms")))).alias("bucket"))
+    seg = segments.select("job_id", "seg_no", "start_ms", "end_ms", F.explode(F.when(usable, F.sequence(first("start_ms"), first("end_ms"))).otherwise(F.array(first("start_ms")))).alias("bucket"))
     meet = (
         (seg.job_id == turn.t_job) & (seg.bucket == turn.t_bucket) & (turn.t_start <= seg.end_ms) & (turn.t_end >= seg.start_ms) & (seg.end_ms > seg.start_ms)
         & (seg.bucket == F.greatest(F.floor(seg.start_ms / F.lit(bucket_ms)), F.floor(turn.t_start / F.lit(bucket_ms))))
@@ -51,13 +50,15 @@ def attribute(segments: DataFrame, turns: DataFrame, threshold: float = 0.8, buc
     fits = F.col("share") >= threshold
     rank = F.struct("t_start", "turn_no")
     best = pairs.groupBy("job_id", "seg_no").agg(
-        F.first("start_ms").alias("start_ms"), F.first("end_ms").alias("end_ms"), F.first("text").alias("text"),
+        F.min("start_ms").alias("start_ms"), F.min("end_ms").alias("end_ms"),
         F.min(F.when(fits, F.struct((F.col("t_end") - F.col("t_start")).alias("len"), rank.alias("rank"), F.col("t_speaker").alias("speaker")))).alias("fit"),
         F.min(F.when(fits, rank)).alias("first_fit"),
         F.min(F.when(F.col("share") > 0, F.struct((-F.col("share")).alias("share"), rank.alias("rank"), F.col("t_speaker").alias("speaker")))).alias("most"),
     )
-    return best.select(
-        "job_id", "seg_no", "start_ms", "end_ms", "text",
+    found = best.select(
+        "job_id", "seg_no", "start_ms", "end_ms",
         F.coalesce("fit.speaker", "most.speaker", F.lit("")).alias("new_speaker"),
         F.coalesce(F.col("fit.rank") != F.col("first_fit"), F.lit(False)).alias("overlapping"),
     )
+    # texts are joined back once: they take no part in the joins and aggregates above
+    return found.join(segments.select("job_id", "seg_no", "text"), ["job_id", "seg_no"]).select(*found.columns[:4], "text", *found.columns[4:]) if texts else found

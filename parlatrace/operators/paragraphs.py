@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from parlatrace.functions.text import anchor_name, html_escape
 from parlatrace.functions.time import ms_to_str, pause_text
 from parlatrace.operators.sequence import carried, sharded, within
-from parlatrace.session import cut
 
 ALL = (Window.unboundedPreceding, 0)
 
@@ -45,45 +44,70 @@ def speaker_actions(attributed: DataFrame, jobs: DataFrame) -> DataFrame:
     Actions: same (no change, or nobody found), ov_start (overlapping speech begins), ov_return (back to the speaker before
     it), para_close (another speaker after overlapping speech), para (another speaker). The last two start a paragraph. An
     overlapping segment counts as such where the job allows overlapping speech; its speaker is then written '//S01'.
+    attributed: (job_id, seg_no, start_ms, end_ms, new_speaker, overlapping). All that a shard needs from those before it is in one row per shard.
     """
     option = jobs.select("job_id", F.coalesce("overlapping", F.lit(True)).alias("allow"))
     heard = attributed.join(option, "job_id", "left").withColumn(
         "heard", F.when(F.col("new_speaker") != "", F.concat(F.when(F.col("overlapping") & F.coalesce("allow", F.lit(True)), "//").otherwise(""), F.col("new_speaker")))
     )
     window = within("job_id", "seg_no")
-    rows = sharded(heard.drop("allow", "overlapping", "new_speaker"), "job_id", "seg_no")
-    summary = [F.max_by("end_ms", "seg_no").alias("last_end"), F.max_by("heard", F.when(F.col("heard").isNotNull(), F.col("seg_no"))).alias("last_heard")]
-    rows = carried(rows, "job_id", summary, lambda w: [F.last("last_end").over(w).alias("carry_end"), F.last("last_heard", True).over(w).alias("carry_speaker")])
-    rows = _gap_columns(rows)
-    rows = rows.withColumn("speaker", F.coalesce(F.last("heard", True).over(window.rowsBetween(*ALL)), "carry_speaker", F.lit("")))
-    rows = rows.withColumn("before", F.when(F.row_number().over(window) == 1, F.coalesce("carry_speaker", F.lit(""))).otherwise(F.lag("speaker").over(window)))
-    changed = F.col("heard").isNotNull() & (F.col("heard") != F.col("before"))
-    entered = F.when(changed & F.startswith("heard", F.lit("//")), F.col("before"))
-    # every further summary reads its rows twice: from here on they are read from storage
-    rows = cut(rows.withColumn("changed", changed).withColumn("entered_from", entered).drop("carry_speaker"), "speakers").repartition("job_id", "shard")
-    rows = carried(rows, "job_id", [F.max_by("entered_from", F.when(F.col("entered_from").isNotNull(), F.col("seg_no"))).alias("last_entered")], lambda w: [F.last("last_entered", True).over(w).alias("carry_entered")])
-    rows = rows.withColumn("prev_speaker", F.coalesce(F.last("entered_from", True).over(window.rowsBetween(*ALL)), "carry_entered", F.lit("")))
+    upto = window.rowsBetween(*ALL)
+    rows = sharded(heard.select("job_id", "seg_no", "start_ms", "end_ms", "heard"), "job_id", "seg_no")
+
+    # What the shard itself tells. Of its rows, only the first that hears somebody and the first that leaves overlapping speech not begun
+    # behind that one depend on what was before the shard.
+    rows = rows.withColumn("_prev_end", F.lag("end_ms").over(window)).withColumn("_speaker", F.last("heard", True).over(upto))
+    rows = rows.withColumn("_before", F.lag("_speaker").over(window))
+    overlap = F.startswith("heard", F.lit("//"))
+    changed = F.col("heard").isNotNull() & (F.col("heard") != F.col("_before"))  # null where the shard doesn't tell
+    rows = rows.withColumn("_changed", changed).withColumn("_entered", F.last(F.when(changed & overlap, F.col("_before")), True).over(upto))
+    leaves = F.col("_changed") & ~overlap & F.startswith("_before", F.lit("//"))
+    rows = rows.withColumn("_unsure", F.coalesce(leaves & F.col("_entered").isNull(), F.lit(False)))
+    opens = F.coalesce(F.col("_changed") & ~overlap & (~F.startswith("_before", F.lit("//")) | (F.col("heard") != F.col("_entered"))), F.lit(False))
+    rows = rows.withColumn("_opened", F.sum(opens.cast("int")).over(upto)).withColumn("_unsure_seen", F.max("_unsure").over(upto))
+
+    shards = rows.groupBy("job_id", "shard").agg(
+        # start_ms only so that both readers of the rows above want the same columns and share their shuffle
+        F.max_by(F.struct("end_ms", "start_ms"), "seg_no")["end_ms"].alias("_end"),
+        F.max_by("heard", F.when(F.col("heard").isNotNull(), F.col("seg_no"))).alias("_last"), F.min_by("heard", F.when(F.col("heard").isNotNull(), F.col("seg_no"))).alias("_first"),
+        F.max_by("_entered", "seg_no").alias("_entered_in"), F.max(F.when(F.col("_unsure"), F.col("heard"))).alias("_leaving"), F.max("_opened").alias("_opens_in"),
+    )
+    ahead = Window.partitionBy("job_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.withColumn("carry_end", F.last("_end").over(ahead)).withColumn("carry_speaker", F.coalesce(F.last("_last", True).over(ahead), F.lit("")))
+    first_overlap, first_changed = F.startswith("_first", F.lit("//")), F.coalesce(F.col("_first") != F.col("carry_speaker"), F.lit(False))
+    shards = shards.withColumn("_entered_out", F.coalesce("_entered_in", F.when(first_overlap & first_changed, F.col("carry_speaker"))))
+    shards = shards.withColumn("carry_entered", F.coalesce(F.last("_entered_out", True).over(ahead), F.lit("")))
+    shards = shards.withColumn("_first_opens", first_changed & ~first_overlap & (~F.startswith("carry_speaker", F.lit("//")) | (F.col("_first") != F.col("carry_entered"))))
+    shards = shards.withColumn("first_entered", F.when(first_overlap & first_changed, F.col("carry_speaker")).otherwise(F.col("carry_entered")))
+    shards = shards.withColumn("_first_opens", F.coalesce("_first_opens", F.lit(False))).withColumn("_leaving_opens", F.coalesce(F.col("_leaving") != F.col("first_entered"), F.lit(False)))
+    total = F.col("_opens_in") + F.col("_first_opens").cast("int") + F.col("_leaving_opens").cast("int")
+    shards = shards.withColumn("carry_para", F.coalesce(F.sum(total).over(ahead), F.lit(0)))
+    rows = rows.join(shards.select("job_id", "shard", "carry_end", "carry_speaker", "carry_entered", "first_entered", "carry_para", "_first_opens", "_leaving_opens"), ["job_id", "shard"], "left")
+
+    prev = F.coalesce("_prev_end", "carry_end")
+    rows = rows.withColumn("first_segment", prev.isNull()).withColumn("prev_end_ms", F.coalesce(prev, F.lit(0)).cast("bigint"))
+    rows = rows.withColumn("gap_ms", F.col("start_ms") - F.col("prev_end_ms")).withColumn("speaker", F.coalesce("_speaker", "carry_speaker")).withColumn("before", F.coalesce("_before", "carry_speaker"))
+    first = F.col("heard").isNotNull() & F.col("_before").isNull()
+    entered = F.coalesce("_entered", F.when(first, F.col("carry_entered")).otherwise(F.col("first_entered")))
     was = F.startswith("before", F.lit("//"))
     action = (
-        F.when(~F.col("changed"), "same").when(F.startswith("heard", F.lit("//")), "ov_start").when(was & (F.col("heard") == F.col("prev_speaker")), "ov_return").when(was, "para_close").otherwise("para")
+        F.when(F.col("heard").isNull() | (F.col("heard") == F.col("before")), "same").when(overlap, "ov_start").when(was & (F.col("heard") == entered), "ov_return").when(was, "para_close").otherwise("para")
     )
-    rows = rows.withColumn("action", action).withColumn("opens", F.col("action").isin("para", "para_close").cast("int"))
-    rows = carried(rows, "job_id", [F.sum("opens").alias("opened")], lambda w: [F.sum("opened").over(w).alias("carry_para")])
-    rows = rows.withColumn("para_no", F.coalesce("carry_para", F.lit(0)) + F.sum("opens").over(window.rowsBetween(*ALL)))
-    return rows.select("job_id", "seg_no", "shard", "start_ms", "end_ms", "text", "gap_ms", "prev_end_ms", "first_segment", "speaker", "before", "action", F.col("para_no").cast("bigint").alias("para_no"))
+    para_no = F.col("carry_para") + F.col("_opened") + F.when(F.col("_speaker").isNotNull() & F.col("_first_opens"), 1).otherwise(0) + F.when(F.col("_unsure_seen") & F.col("_leaving_opens"), 1).otherwise(0)
+    return rows.select("job_id", "seg_no", "shard", "start_ms", "end_ms", "gap_ms", "prev_end_ms", "first_segment", "speaker", "before", action.alias("action"), para_no.cast("bigint").alias("para_no"))
 
 
-def document_rows(actions: DataFrame, jobs: DataFrame, shown: DataFrame) -> DataFrame:
+def document_rows(actions: DataFrame, jobs: DataFrame, shown: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows of the written document, pauses and segments in order, with plain and HTML text and anchor name.
 
-    shown: (job_id, seg_no) of the segments that show their time. The mark that closes overlapping speech goes to the row
+    shown: (job_id, seg_no) of the segments that show their time; texts: (job_id, seg_no, text). The mark that closes overlapping speech goes to the row
     before, which is the pause if there is one. out_no orders the rows; cue_no numbers all anchors from 1.
     """
     option = jobs.select(
         "job_id", F.coalesce("start_ms", F.lit(0)).alias("offset_ms"), F.coalesce("pause", F.lit(0)).alias("pause"), "pause_marker",
         (F.coalesce("speaker_detection", F.lit("auto")) != "none").alias("detect"), F.lower(F.col("transcript_file")).endswith(".vtt").alias("vtt"),
     )
-    rows = actions.join(option, "job_id").join(shown.select("job_id", "seg_no", F.lit(True).alias("shows")), ["job_id", "seg_no"], "left")
+    rows = actions.join(option, "job_id").join(texts.select("job_id", "seg_no", "text"), ["job_id", "seg_no"]).join(shown.select("job_id", "seg_no", F.lit(True).alias("shows")), ["job_id", "seg_no"], "left")
     stamp = F.when(F.col("shows"), F.concat(F.lit("["), F.coalesce(ms_to_str(F.col("offset_ms") + F.col("start_ms")), F.lit("")), F.lit("]")))
     text = F.coalesce("text", F.lit(""))
     para = F.col("action").isin("para", "para_close")

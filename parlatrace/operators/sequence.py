@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 SHARD_ROWS = 4096
 
 
+def in_shards(df: DataFrame, order: str, width: int | None = None) -> DataFrame:
+    """df with a column shard."""
+    return df.withColumn("shard", F.floor(F.col(order) / F.lit(width or SHARD_ROWS)))
+
+
 def sharded(df: DataFrame, key: str, order: str, width: int | None = None) -> DataFrame:
     """df with a column shard, laid out by (key, shard). Every later step reads this one shuffle."""
-    return df.withColumn("shard", F.floor(F.col(order) / F.lit(width or SHARD_ROWS))).repartition(key, "shard")
+    return in_shards(df, order, width).repartition(key, "shard")
 
 
 def within(key: str, order: str) -> WindowSpec:
@@ -27,4 +32,5 @@ def carried(df: DataFrame, key: str, summary: list[Column], before: Callable[[Wi
     """df with columns taken from the shards before its own. summary makes one row of a shard; before turns the window over the earlier ones into columns."""
     ahead = Window.partitionBy(key).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = df.groupBy(key, "shard").agg(*summary)
-    return df.join(shards.select(key, "shard", *before(ahead)), [key, "shard"])
+    # a left join: an inner one would filter one of its sides by the shard, and the two readers of df would no longer share its shuffle
+    return df.join(shards.select(key, "shard", *before(ahead)), [key, "shard"], "left")

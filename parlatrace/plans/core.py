@@ -9,7 +9,7 @@ from parlatrace import tables as t
 from parlatrace.functions import html as H
 from parlatrace.functions import text as X
 from parlatrace.functions import time as M
-from parlatrace.functions.labels import speaker_of
+from parlatrace.functions.labels import speaker_of, with_speaker
 from parlatrace.functions.markdown import markdown_to_html
 from parlatrace.functions.names import unique_names
 from parlatrace.operators import files, lookups, paragraphs, queue, silence, throttle, vectors
@@ -26,11 +26,12 @@ def _timed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _attributed(s: SparkSession, d: str) -> DataFrame:
-    return attribute(_timed(s, d), named_turns(t.turns(s, d)))
+    return attribute(_timed(s, d), named_turns(t.turns(s, d)), texts=False)
 
 
 def _actions(s: SparkSession, d: str) -> DataFrame:
-    return paragraphs.speaker_actions(_attributed(s, d), t.table(s, d, "jobs"))
+    # read by the rows and by the summaries of their shards, which would each attribute them anew
+    return paragraphs.speaker_actions(cut(_attributed(s, d), "attributed"), t.table(s, d, "jobs"))
 
 
 def _shown(s: SparkSession, d: str, actions: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def _shown(s: SparkSession, d: str, actions: DataFrame) -> DataFrame:
 
 def document(s: SparkSession, d: str) -> DataFrame:
     actions = cut(_actions(s, d), "actions")  # read by the throttle and by the rendering
-    return paragraphs.document_rows(actions, t.table(s, d, "jobs"), _shown(s, d, actions))
+    return paragraphs.document_rows(actions, t.table(s, d, "jobs"), _shown(s, d, actions), _timed(s, d))
 
 
 def pause_gaps(s, d):
@@ -64,7 +65,7 @@ def pause_snap(s, d):
 
 
 def speaker_attribution(s, d):
-    return _attributed(s, d).drop("text")
+    return _attributed(s, d)
 
 
 def speaker_actions(s, d):
@@ -287,7 +288,7 @@ def stream_bursts(s, d):
 
 
 def p3_found(s, d):
-    turns = t.table(s, d, "turns").select("job_id", "start_ms", "end_ms", speaker_of(F.col("label")).alias("speaker"))
+    turns = with_speaker(t.table(s, d, "turns").select("job_id", "start_ms", "end_ms", "label"))
     return periods_and_gaps(turns, ["job_id", "speaker"])
 
 

@@ -120,9 +120,9 @@ def shown_by_fold(jobs, interval):
     return sorted(out)
 
 
-@pytest.mark.parametrize("width", [2, 5, 1000])
+@pytest.mark.parametrize(("width", "block"), [(2, 1024), (2, 3), (5, 2), (1000, 1024)])
 @pytest.mark.parametrize("ordered", [True, False])
-def test_spaced(spark, rows, width, ordered):
+def test_spaced(spark, rows, width, block, ordered):
     rng = random.Random(width)
     jobs = {}
     for j in range(20):
@@ -132,7 +132,7 @@ def test_spaced(spark, rows, width, ordered):
             items.append((k, t, rng.random() < 0.05 * (j % 3), rng.random() < 0.9))
         jobs[j] = items
     data = spark.createDataFrame([(j, *x, 2000) for j, items in jobs.items() for x in items], "job_id bigint, seg_no int, start_ms bigint, forced boolean, eligible boolean, interval_ms bigint")
-    assert rows(throttle.spaced(data, width)) == shown_by_fold(jobs, 2000)
+    assert rows(throttle.spaced(data, width, block)) == shown_by_fold(jobs, 2000)
 
 
 def test_spaced_is_strict_and_empty(spark, rows):
@@ -141,8 +141,35 @@ def test_spaced_is_strict_and_empty(spark, rows):
     assert throttle.spaced(spark.createDataFrame([], schema)).count() == 0
 
 
-@pytest.mark.parametrize("width", [3, 1000])
-def test_stepped(spark, rows, width):
+def test_functions_of_shards_are_bounded():
+    """A shard of rising starts lists those within one interval only, and so does any composition."""
+    import pandas as pd
+
+    n, step, gap = 4096, 5000, 60_000
+    functions = []
+    for shard in range(4):
+        begin = [(shard * n + i) * step for i in range(n)]
+        frame = pd.DataFrame({"job_id": 1, "shard": shard, "start_ms": begin, "forced": False, "eligible": True, "interval_ms": gap, "low": 0, "high": max(0, begin[0] - step)})
+        out = next(throttle._exits(iter([frame])))
+        functions.append(out[throttle._SPACED].iloc[0].tolist())
+        assert len(out["firsts"].iloc[0]) <= gap // step + 1
+    whole = functions[0]
+    for f in functions[1:]:
+        whole = throttle._composed(whole, f)
+        assert len(whole[4]) <= gap // step + 1
+    last = 0
+    for t in range(0, 4 * n * step, step):
+        last = t if t - last > gap else last
+    assert throttle._exit(whole, 0) == last
+    for start in range(0, 4 * gap, step):  # applying one after the other is applying the composition
+        state = start
+        for f in functions[1:]:
+            state = throttle._exit(f, state)
+        assert len(functions[1][4]) > 0 and isinstance(state, int)
+
+
+@pytest.mark.parametrize(("width", "block"), [(3, 1024), (3, 2), (1000, 1024)])
+def test_stepped(spark, rows, width, block):
     rng = random.Random(5)
     data, want = [], []
     for j in range(10):
@@ -153,7 +180,7 @@ def test_stepped(spark, rows, width):
             if abs(v - last) >= 10:
                 want.append((j, k, v))
                 last = v
-    assert rows(throttle.stepped(spark.createDataFrame(data, "job_id bigint, seg_no int, value int"), width=width)) == sorted(want)
+    assert rows(throttle.stepped(spark.createDataFrame(data, "job_id bigint, seg_no int, value int"), width=width, block=block)) == sorted(want)
 
 
 def snap_by_fold(pauses, s, e):
@@ -208,7 +235,7 @@ def test_document_closes_overlap_on_the_pause(spark, rows, monkeypatch):
     attributed = spark.createDataFrame(heard, "job_id bigint, seg_no int, start_ms bigint, end_ms bigint, text string, new_speaker string, overlapping boolean")
     actions = paragraphs.speaker_actions(attributed, jobs)
     shown = spark.createDataFrame([(1, 0)], "job_id bigint, seg_no int")
-    document = paragraphs.document_rows(actions, jobs, shown)
+    document = paragraphs.document_rows(actions, jobs, shown, attributed)
     assert rows(document, "cue_no", "kind", "text", "para_no") == [(1, "segment", "S00: [00:00:00] a", 1), (2, "segment", " //S01: b", 1), (3, "pause", " (..)//", 1), (4, "segment", "S02: c", 2)]
     assert rows(paragraphs.paragraph_texts(document), "para_no", "text") == [(1, "S00: [00:00:00] a //S01: b (..)//"), (2, "S02: c")]
 
