@@ -28,7 +28,8 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str = "start_
     rows = rows.withColumn("_shard", F.floor(F.col("_s") / F.lit(shard_ms)))
     lasts = F.make_interval(secs=((F.col("_e") - F.col("_s")) / 1000).cast("decimal(18,6)"))
     sessions = rows.groupBy(*keys, "_shard", F.session_window(F.timestamp_millis(F.col("_s")), lasts).alias("_w")).agg(F.count("*").alias("_n"))
-    sessions = sessions.select(*keys, "_shard", F.unix_millis("_w.start").alias("_s"), F.unix_millis("_w.end").alias("_e"))
+    # with the count in use, all readers of the sessions want the same columns and share one scan and one shuffle
+    sessions = sessions.where("_n > 0").select(*keys, "_shard", F.unix_millis("_w.start").alias("_s"), F.unix_millis("_w.end").alias("_e"))
 
     own = Window.partitionBy(*keys, "_shard").orderBy("_s", "_e")
     stretch = Window.partitionBy(*keys).orderBy("_shard")
