@@ -62,6 +62,12 @@ def clean(text: Column, english: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"(?U)[\s\x1f​]+", " "))
 
 
+def _once(rows: DataFrame, key: str) -> DataFrame:
+    """rows without those of transcripts that came again, told by their position; in the layout that the windows over documents need anyway."""
+    order = Window.partitionBy(key).orderBy("position")
+    return rows.withColumn("_same", F.lag("position").over(order)).where("_same is null or _same <> position").drop("_same")
+
+
 def units(df: DataFrame, key: str, source: str) -> DataFrame:
     """(key, position, start_ms, label, text, english): the stretches of speech with their own time, in document order.
 
@@ -81,7 +87,7 @@ def units(df: DataFrame, key: str, source: str) -> DataFrame:
         html_unescape(F.regexp_replace(F.regexp_replace("_a", r"(?i)<br\b[^>]*>", " "), r"<[^>]*>", "")).alias("_t"),
     )
     spoken = F.regexp_replace(F.regexp_replace("_t", _SHOWN_TIME, " "), _SPOKEN_LABEL, "")
-    by_anchor = by_anchor.select(key, "position", "start_ms", "label", spoken.alias("text"), "english")
+    by_anchor = _once(by_anchor.select(key, "position", "start_ms", "label", spoken.alias("text"), "english"), key)
 
     blocks = docs.where(~anchored).select(key, "english", F.posexplode(F.split("_body", _BLOCK)).alias("position", "_b"))
     flat = html_unescape(F.regexp_replace(F.regexp_replace("_b", _CELL, _SEP), r"<[^>]*>", ""))
@@ -90,7 +96,7 @@ def units(df: DataFrame, key: str, source: str) -> DataFrame:
     label = F.coalesce(F.nullif(F.regexp_extract("_t", _HEAD, 1), F.lit("")), F.regexp_extract("_t", _HEAD, 3))
     blocks = blocks.select(key, "position", "english", clock_ms(F.nullif(timed, F.lit(""))).alias("start_ms"), label.alias("label"), F.regexp_replace("_t", _HEAD, "").alias("text"))
     order = Window.partitionBy(key).orderBy("position")
-    blocks = blocks.withColumn("_u", F.count("start_ms").over(order)).where("_u > 0")
+    blocks = _once(blocks, key).withColumn("_u", F.count("start_ms").over(order)).where("_u > 0")
     by_block = blocks.groupBy(key, "_u").agg(
         F.min("position").alias("position"), F.first("start_ms", True).alias("start_ms"), F.min_by("label", "position").alias("label"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), " ").alias("text"), F.first("english").alias("english"),
@@ -107,7 +113,7 @@ def speaker_turns(df: DataFrame, key: str = "payload_id", source: str = "transcr
     first label, nor units without a time. Null keys and texts give no rows. A key that comes twice must be the same
     transcript: its rows are taken once. Other columns are ignored.
     """
-    rows = units(df.dropDuplicates([key]), key, source)
+    rows = units(df, key, source)
     document = Window.partitionBy(key).orderBy("position")
     rows = rows.withColumn("speaker", F.last(speaker_of(F.col("label")), True).over(document))
     rows = _with_words(rows)
