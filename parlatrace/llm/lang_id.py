@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlatrace.llm.lang_model import Model, Vocabulary, fit_on_documents, stretches
+from parlatrace.llm.lang_model import SENTENCES_PER_DOCUMENT, SENTENCES_PER_LANGUAGE, Model, Vocabulary, fit_on_documents, stretches
 
 # Three-letter codes of the languages of the table, in order of their two-letter codes.
 THREE_LETTERS = {
@@ -38,17 +38,19 @@ def label_code(label: Column, names: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, flat), F.try_element_at(table, F.regexp_replace(flat, "[-_].*$", "")))
 
 
-def fit_model(documents: DataFrame, samples: DataFrame, names: dict[str, str], key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = SAMPLE_DOCUMENTS, max_chars: int = SAMPLE_CHARS) -> Model:
+def fit_model(documents: DataFrame, samples: DataFrame, names: dict[str, str], key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = SAMPLE_DOCUMENTS, max_chars: int = SAMPLE_CHARS, max_samples: int = 100_000, sentences_per_document: int = SENTENCES_PER_DOCUMENT, sentences_per_language: int = SENTENCES_PER_LANGUAGE) -> Model:
     """A model fitted on the sample sentences (code, text) and on a bounded sample of labelled documents.
 
     The sample: of each language named by labels, the `per_language` documents of up to `max_chars` characters that come first
-    by a hash of their key. Labels may be wrong; the fit allows for that.
+    by a hash of their key; of each document at most `sentences_per_document` sentences, spread over it, and of each language at most
+    `sentences_per_language`. Labels may be wrong; the fit allows for that. More than `max_samples` sample sentences end the query.
     """
     rows = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t"), label_code(F.col(label), names).alias("_l")).where((F.col("_l").isNotNull()) & (F.length("_t").between(20, max_chars)))
     first = Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k")
     picked = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_language).orderBy("_l", "_n").select("_l", "_t").collect()
-    sentences = samples.where("code is not null and text is not null").orderBy("code", "sample_id").limit(100_000).collect()
-    return fit_on_documents([(r["code"].lower(), r["text"]) for r in sentences], [(r["_l"], r["_t"]) for r in picked])
+    sentences = samples.where("code is not null and text is not null").orderBy("code", "sample_id").limit(max_samples + 1).collect()
+    assert len(sentences) <= max_samples, "too many sample sentences"
+    return fit_on_documents([(r["code"].lower(), r["text"]) for r in sentences], [(r["_l"], r["_t"]) for r in picked], sentences_per_document, sentences_per_language)
 
 
 def language_stretches(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", carry: dict[str, Column] | None = None) -> DataFrame:

@@ -14,6 +14,8 @@ CENTROIDS = 4
 SIZES = (2, 3, 4)
 SEED = 7
 MIN_SHARE = 0.08
+#: Texts on other matters than the sample's are farther from their own language than the held-out ones, yet nearer than other languages.
+LEAST_SHARE = 0.4
 SCALES = (5.0, 10.0, 15.0, 20.0, 30.0, 40.0)
 
 _CJK = r"぀-ヿ㐀-鿿豈-﫿가-힯ｦ-ﾟ"
@@ -125,7 +127,12 @@ class Model:
     scale: float
 
     def similarities(self, texts: list[list[str]], vocabulary: Vocabulary) -> np.ndarray:
-        """Cosine of each word list to the nearest centroid of each language; rows without words are all zero."""
+        """Cosine of each word list to the nearest centroid of each language; rows without words are all zero. Lists that come again are scored once."""
+        distinct: dict[tuple[str, ...], int] = {}
+        place = [distinct.setdefault(tuple(t), len(distinct)) for t in texts]
+        return self._scored([list(t) for t in distinct], vocabulary)[place] if texts else np.zeros((0, len(self.languages)))
+
+    def _scored(self, texts: list[list[str]], vocabulary: Vocabulary) -> np.ndarray:
         rows, features, n = counts(texts, vocabulary)
         out = np.zeros((len(texts), len(self.languages)))
         if not len(rows):
@@ -158,7 +165,7 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, rounds: int
     """A model of labelled texts (language, text). Accents and single letters get lost in transcripts, so each text is also learned without them.
 
     Per language the vectors are clustered (spherical k-means, fixed start), each cluster's mean is a centroid. The rejection
-    threshold is half the 1 % quantile of the similarity of a held-out tenth to its own language.
+    threshold is LEAST_SHARE of the 1 % quantile of the similarity of a held-out tenth to its own language.
     """
     rng = np.random.default_rng(SEED)
     vocabulary = Vocabulary()
@@ -209,7 +216,7 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, rounds: int
     if tests:
         s = model.similarities(tests, vocabulary)
         own = s[np.arange(len(tests)), label[is_held]]
-        model.least = float(np.quantile(own, 0.01)) / 2
+        model.least = float(np.quantile(own, 0.01)) * LEAST_SHARE
         loss = {}
         for scale in SCALES:
             model.scale = scale
@@ -219,11 +226,16 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS, rounds: int
     return model
 
 
-def fit_on_documents(samples: list[tuple[str, str]], documents: list[tuple[str, str]], per_document: int = 40, per_language: int = 600) -> Model:
+SENTENCES_PER_DOCUMENT = 40
+SENTENCES_PER_LANGUAGE = 600
+
+
+def fit_on_documents(samples: list[tuple[str, str]], documents: list[tuple[str, str]], per_document: int = SENTENCES_PER_DOCUMENT, per_language: int = SENTENCES_PER_LANGUAGE) -> Model:
     """A model of sample sentences and of labelled documents (language, text), whose labels may be wrong or whose text may change language.
 
     A first model of the samples alone tells which documents are in the language of their label and drops sentences that clearly
-    are in another; a second one, of what is left, drops those it places elsewhere; the third is the result.
+    are in another; a second one, of what is left, drops those it places elsewhere; the third is the result. Of a document at most `per_document`
+    sentences are read, spread evenly over it, and of a language at most `per_language`.
     """
     model = fit(samples)
     vocabulary = Vocabulary()
@@ -231,7 +243,8 @@ def fit_on_documents(samples: list[tuple[str, str]], documents: list[tuple[str,
     for lang, text in documents:
         if lang not in model.languages:
             continue
-        parts = [text[s.start : s.end] for s in sentences(text)[:per_document]]
+        found = sentences(text)
+        parts = [text[s.start : s.end] for s in (found if len(found) <= per_document else [found[i * len(found) // per_document] for i in range(per_document)])]
         lists = [words_of(p) for p in parts]
         if not any(lists):
             continue
@@ -255,19 +268,34 @@ def fit_on_documents(samples: list[tuple[str, str]], documents: list[tuple[str,
     return model
 
 
-SWITCH = 0.35
-MERGE_WORDS = 3
+#: What a change between two languages costs: the first for languages that share nothing, the second for the two that are nearest to each other.
+SWITCH = (0.04, 0.18)
+
+
+def switch_costs(model: Model, low: float, high: float) -> np.ndarray:
+    """The cost of a change between each two languages, by how alike their centroids are: a sentence may look like the next of kin more easily than like a stranger."""
+    n = len(model.languages)
+    alike = np.zeros((n, n))
+    near = model.centroids.T @ model.centroids
+    for i in range(n):
+        for j in range(n):
+            alike[i, j] = 0.0 if i == j else near[np.ix_(model.owner == i, model.owner == j)].max()
+    costs = low + (high - low) * alike / max(alike.max(), 1e-12)
+    np.fill_diagonal(costs, 0.0)
+    return costs
 
 
-def _path(scores: np.ndarray, weights: np.ndarray, switch: float) -> list[int]:
-    """The best language of each unit when every change costs `switch`."""
+def _path(scores: np.ndarray, weights: np.ndarray, switch: np.ndarray | float) -> list[int]:
+    """The best language of each unit when a change costs `switch`, one value or one for each pair of languages."""
     n, k = scores.shape
+    costs = switch if isinstance(switch, np.ndarray) else switch * (1 - np.eye(k))
     best, back = scores[0] * weights[0], np.zeros((n, k), dtype=np.int64)
     for i in range(1, n):
-        top = int(best.argmax())
-        stay = best >= best[top] - switch
-        back[i] = np.where(stay, np.arange(k), top)
-        best = np.where(stay, best, best[top] - switch) + scores[i] * weights[i]
+        by = best[:, None] - costs
+        back[i] = by.argmax(axis=0)
+        stay = by.diagonal() >= by.max(axis=0)
+        back[i, stay] = np.flatnonzero(stay)
+        best = by.max(axis=0) + scores[i] * weights[i]
     path = [int(best.argmax())]
     for i in range(n - 1, 0, -1):
         path.append(int(back[i][path[-1]]))
@@ -299,6 +327,7 @@ def stretches(texts: list[str | None], model: Model, vocabulary: Vocabulary) ->
     punctuation got lost, so it is also gone through word by word. A text too far from every centroid gets the language null.
     """
     docs = [sentences(t) if t else [] for t in texts]
+    costs = switch_costs(model, *SWITCH)
     units: list[list[str]] = []
     spans: list[list[tuple[int, int, int]]] = []  # start, end, unit number
     for t, found in zip(texts, docs, strict=True):
@@ -337,7 +366,7 @@ def stretches(texts: list[str | None], model: Model, vocabulary: Vocabulary) ->
             continue
         numbers = [u for _, _, u in mine]
         weight = np.minimum(lengths[numbers], 8) / 8.0
-        path = _path(scores[numbers], weight * 2, SWITCH)
+        path = _path(scores[numbers], weight * 2, costs) if len(numbers) > 1 else [int(scores[numbers[0]].argmax())]
         pieces: list[tuple[int, int, list[int]]] = []
         for (a, _, u), lang in zip(mine, path, strict=True):
             for place, which in inside.get(u, [(a, lang)]):

@@ -100,3 +100,51 @@ def test_a_change_in_the_midst_of_a_long_unit(samples):
     assert [lang for _, lang, _ in got] == ["en", "de", "en"]
     assert [text[p:].startswith(w) for (p, _, _), w in zip(got[1:], (de[0].split()[0], en[3].split()[0]), strict=True)] == [True, True]
     assert [lang for _, lang, _ in stretches([" ".join(en[:8])], model, Vocabulary())[0]] == ["en"]
+
+
+# Ordinary sentences on other matters than those of the tables: none is fitted on.
+PLAIN = {
+
+    "en": ["The weather is nice and we are going to the park.", "My grandmother bakes bread every weekend.", "He forgot his umbrella on the bus again.", "Nobody knows where the old letters are kept."],
+    "de": ["Ich möchte heute in den Park gehen und ein Eis essen.", "Meine Großmutter backt jedes Wochenende Brot.", "Er hat seinen Schirm wieder im Bus vergessen.", "Niemand weiß, wo die alten Briefe aufbewahrt werden."],
+    "fr": ["Il fait beau et nous allons nous promener au parc.", "Ma grand-mère fait du pain tous les week-ends.", "Il a encore oublié son parapluie dans le bus.", "Personne ne sait où sont gardées les vieilles lettres."],
+    "es": ["Hace buen tiempo y vamos a pasear por el parque.", "Mi abuela hace pan todos los fines de semana.", "Otra vez se olvidó el paraguas en el autobús.", "Nadie sabe dónde se guardan las cartas antiguas."],
+    "pt": ["O tempo está bom e vamos passear no parque.", "A minha avó faz pão todos os fins de semana.", "Ele esqueceu outra vez o guarda-chuva no autocarro.", "Ninguém sabe onde estão guardadas as cartas antigas."],
+    "it": ["Il tempo è bello e andiamo a passeggiare nel parco.", "Mia nonna fa il pane ogni fine settimana.", "Ha dimenticato di nuovo l'ombrello sull'autobus.", "Nessuno sa dove sono conservate le vecchie lettere."],
+    "nl": ["Het weer is mooi en we gaan in het park wandelen.", "Mijn oma bakt elk weekend brood.", "Hij heeft zijn paraplu weer in de bus laten liggen.", "Niemand weet waar de oude brieven worden bewaard."],
+    "sv": ["Vädret är fint och vi ska gå till parken.", "Min mormor bakar bröd varje helg.", "Han glömde sitt paraply på bussen igen.", "Ingen vet var de gamla breven förvaras."],
+    "da": ["Vejret er dejligt, og vi går en tur i parken.", "Min mormor bager brød hver weekend.", "Han glemte sin paraply i bussen igen.", "Ingen ved, hvor de gamle breve bliver opbevaret."],
+    "pl": ["Pogoda jest ładna i idziemy do parku.", "Moja babcia piecze chleb w każdy weekend.", "Znowu zapomniał parasola w autobusie.", "Nikt nie wie, gdzie są przechowywane stare listy."],
+    "ru": ["Погода хорошая, и мы идём гулять в парк.", "Моя бабушка печёт хлеб каждые выходные.", "Он опять забыл зонт в автобусе.", "Никто не знает, где хранятся старые письма."],
+    "ja": ["天気がいいので公園に行きます。", "祖母は毎週末パンを焼きます。", "彼はまたバスに傘を忘れました。", "古い手紙がどこにあるか誰も知りません。"],
+}
+
+
+@pytest.fixture(scope="module")
+def full_model(spark):
+    if not DATA.exists():
+        pytest.skip("no test tables here")
+    read = lambda name: spark.read.parquet(str(DATA / f"{name}.parquet"))
+    return lang_id.fit_model(read("documents"), read("lang_samples"), lang_id.language_names(read("languages")))
+
+
+def test_unseen_sentences(full_model):
+    one = [(lang, text) for lang, texts in PLAIN.items() for text in texts]
+    got = [[x[1] for x in found] for found in stretches([text for _, text in one], full_model, Vocabulary())]
+    assert sum(g == [lang] for (lang, _), g in zip(one, got, strict=True)) >= 0.9 * len(one), got
+    whole = stretches([" ".join(texts) for texts in PLAIN.values()], full_model, Vocabulary())
+    assert sum([x[1] for x in found] == [lang] for lang, found in zip(PLAIN, whole, strict=True)) >= 0.9 * len(PLAIN)
+
+
+def test_unseen_mixed_texts(full_model):
+    """Two sentences in one language and two in another, for each pair of languages: both stretches with their places."""
+    pairs = [(a, b, " ".join(PLAIN[a][:2]) + " ", " ".join(PLAIN[b][2:])) for a in PLAIN for b in PLAIN if a != b]
+    got = stretches([first + second for _, _, first, second in pairs], full_model, Vocabulary())
+    right = sum([(x[0], x[1]) for x in found] == [(0, a), (len(first), b)] for (a, b, first, _), found in zip(pairs, got, strict=True))
+    assert right >= 0.8 * len(pairs), right / len(pairs)
+
+
+def test_other_languages_are_rejected(full_model):
+    others = ["Bugün hava çok güzel ve parka gidiyoruz.", "Tänään on kaunis sää ja menemme puistoon.", "Σήμερα ο καιρός είναι ωραίος και πάμε στο πάρκο.", "Mae'r tywydd yn braf heddiw ac rydyn ni'n mynd i'r parc.", "Ma szép idő van és a parkba megyünk."]
+    got = stretches(others, full_model, Vocabulary())
+    assert sum(found[0][1] is None for found in got) >= 4, got
