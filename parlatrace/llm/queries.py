@@ -10,7 +10,7 @@ from parlatrace.functions.time import seconds_to_ms
 from parlatrace.llm import lang_id, mixing, packing, pii
 from parlatrace.llm.nearest import nearest_in_time
 from parlatrace.llm.speaker_turns import segment_turns, speaker_turns
-from parlatrace.llm.split import limits_of, split_texts
+from parlatrace.llm.split import Limit, limits_of, split_texts
 from parlatrace.llm.tokens import text_class, token_count
 from parlatrace.operators.lookups import language_codes
 from parlatrace.plans.oracle import SPACE, unescape
@@ -80,11 +80,11 @@ def p4_pieces(s, d):
 
 
 def p4_found(s, d):
-    limits = [x for x in limits_of(t.table(s, d, "size_limits")) if x.capacity == FOUND_CHARS]
-    pieces = split_texts(spread(t.table(s, d, "payloads").select("payload_id", "transcript_html")), ["payload_id"], F.col("transcript_html"), limits)
-    # the second piece tells that there is more than one, each payload has one such row
-    rows = pieces.where("piece_no = 1").select("payload_id", F.when(F.col("longest_run") > FOUND_CHARS, F.array(F.lit("oversized"), F.lit("unbroken"))).otherwise(F.array(F.lit("oversized"))).alias("kinds"))
-    return rows.select("payload_id", F.explode("kinds").alias("kind"))
+    # the problem's pieces are those of FOUND_CHARS; an overlap only makes them shorter, and every run that is longer is parted by some cut
+    limits = [x for x in limits_of(t.table(s, d, "size_limits")) if x.capacity == FOUND_CHARS] or [Limit(0, FOUND_CHARS, 0)]
+    pieces = split_texts(spread(t.table(s, d, "payloads").select("payload_id", "transcript_html")), ["payload_id"], F.col("transcript_html"), limits[:1])
+    cuts = pieces.where("piece_no > 0").groupBy("payload_id").agg((F.max("parted") > FOUND_CHARS).alias("unbroken"))
+    return cuts.select("payload_id", F.explode(F.when(F.col("unbroken"), F.array(F.lit("oversized"), F.lit("unbroken"))).otherwise(F.array(F.lit("oversized")))).alias("kind"))
 
 
 def _sized(s, d, *more: Column):
