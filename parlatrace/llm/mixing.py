@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 BINS_AN_OCTAVE = 4
 SPREAD = 32
+ROWS_A_SPREAD = 200_000
 MOST_TARGETS = 100_000
 
 
@@ -15,11 +16,11 @@ def source_name(source: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(source)), r"[\s_]+", "-"), F.lit(""))
 
 
-def plan_mix(items: DataFrame, targets: DataFrame, size: str = "n_tokens") -> DataFrame:
+def plan_mix(items: DataFrame, targets: DataFrame, size: str = "n_tokens", most: int | None = None) -> DataFrame:
     """(mix_name, source, target_share, max_repeats, documents, tokens, rate): how many copies of each document a mix expects of each source.
 
     items: (source, size); targets: (mix_name, source, target_share, max_repeats). The mix is as large as it can be while every
-    source that has documents meets its share with at most max_repeats copies of a document; the shares of sources without
+    source that has documents meets its share with at most max_repeats copies of a document, or of `most` tokens if that is less; the shares of sources without
     documents go to the others in proportion. A source of share 0 has rate 0. Sources that no mix asks for take no part.
     """
     have = items.where(F.col(size) > 0).groupBy("source").agg(F.count("*").alias("documents"), F.sum(size).alias("tokens"))
@@ -29,6 +30,8 @@ def plan_mix(items: DataFrame, targets: DataFrame, size: str = "n_tokens") -> Da
     usable = F.col("tokens").isNotNull() & (F.col("target_share") > 0)
     rows = rows.withColumn("share", F.when(usable, F.col("target_share") / F.sum(F.when(usable, F.col("target_share"))).over(mix)))
     rows = rows.withColumn("total", F.min(F.when(usable, F.col("max_repeats") * F.col("tokens") / F.col("share"))).over(mix))
+    if most is not None:
+        rows = rows.withColumn("total", F.least("total", F.lit(most)))
     rate = F.when(usable, F.least(F.col("share") * F.col("total") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     return rows.select("mix_name", "source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), rate.alias("rate"))
 
@@ -38,18 +41,20 @@ def offset(mix: Column, source: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), mix, source), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
 
 
-def mixed(items: DataFrame, targets: DataFrame, seed: int = 1, size: str = "n_tokens") -> DataFrame:
+def mixed(items: DataFrame, targets: DataFrame, seed: int = 1, size: str = "n_tokens", most: int | None = None) -> DataFrame:
     """(mix_name, source, doc_id, n_tokens, copies): the documents of each mix and how often they occur, at most max_repeats times.
 
     items: (doc_id, source, n_tokens), one row per document; documents without tokens, or without a source of the mix, aren't chosen. Within
     a source the documents are put in order of size, so that every size is represented evenly; the expected copies are summed up in
     that order, one random offset is added, and a document occurs once for every whole number its stretch of the sum crosses.
 
-    The sum is taken in two steps, over bins of size and hash and then within a bin, so that no task has to hold a source.
+    The sum is taken in two steps, over bins of size and hash and then within a bin, so that no task has to hold a source, nor one of a source whose
+    texts are all of one length: there are as many hashes as keep that at about ROWS_A_SPREAD rows. most: as plan_mix takes it.
     """
-    plan = plan_mix(items, targets, size).where("rate > 0").select("mix_name", "source", "rate")
+    plan = plan_mix(items, targets, size, most).where("rate > 0").select("mix_name", "source", "rate")
     rows = items.where((F.col(size) > 0) & F.col("source").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "source", F.col(size).alias("n_tokens"))
-    rows = rows.withColumn("_bin", F.floor(F.log2("n_tokens") * BINS_AN_OCTAVE).cast("int")).withColumn("_spread", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int"))
+    spread = max(SPREAD, -(-rows.count() // ROWS_A_SPREAD))
+    rows = rows.withColumn("_bin", F.floor(F.log2("n_tokens") * BINS_AN_OCTAVE).cast("int")).withColumn("_spread", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int"))
     counts = rows.groupBy("source", "_bin", "_spread").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("source").orderBy("_bin", "_spread").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -37,10 +37,12 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
 
 
 def text_class(text: Column) -> Column:
-    """A number that texts share which differ only in case, accents, punctuation and white space: their class of copies. Collisions of the hash (64 bits) join classes."""
+    """A number that texts share which differ only in case, accents, punctuation and white space: their class of copies. Texts without a letter or figure are in none (null). Collisions of the hash (64 bits) join classes."""
 
     @F.pandas_udf(StringType())
     def folded(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKD").str.replace(r"[\W_̀-ͯ]+", "", regex=True).str.lower()
+        bare = texts.str.normalize("NFKD").str.replace(r"[\W_̀-ͯ]+", "", regex=True).str.lower()
+        return bare.where(bare != "", None)
 
-    return F.xxhash64(folded(text))
+    bare = folded(text)
+    return F.when(bare.isNotNull(), F.xxhash64(bare))

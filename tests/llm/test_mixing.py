@@ -57,3 +57,13 @@ def test_equal_sizes_spread(spark):
     items = [(i, "a" if i % 3 else "b", 100) for i in range(3000)]
     out = mixed(spark.createDataFrame(items, ITEMS), spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], TARGETS))
     assert {r.source: r["count"] for r in out.groupBy("source").count().collect()} == {"a": 1000, "b": 1000}
+
+
+def test_a_mix_of_a_size(spark, monkeypatch):
+    from parlatrace.llm import mixing
+
+    monkeypatch.setattr(mixing, "ROWS_A_SPREAD", 10)  # many hashes: the shares stay
+    items, targets = spark.createDataFrame(data(), ITEMS), spark.createDataFrame(MIX[:3], TARGETS)
+    out = mixed(items, targets, most=60_000).selectExpr("source", "n_tokens * copies as t").groupBy("source").sum("t").collect()
+    got = {r.source: r[1] for r in out}
+    assert sum(got.values()) == pytest.approx(60_000, rel=0.03) and got["a"] / sum(got.values()) == pytest.approx(5 / 9, abs=0.02)
