@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlatrace.functions.html import _TAG as TAG
 from parlatrace.functions.html import plain_text
 
 MARKS = ".!?。！？…"
@@ -31,40 +32,44 @@ BOUNDARIES = (
     ("mark", re.compile(f"[{MARKS}]+")),
 )
 KINDS = (*(name for name, _ in BOUNDARIES), "forced")
+#: The blocks of Unicode whose characters are mostly combining ones; whether one is, is asked of the character.
+_COMBINING = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u0e4e\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u302a-\u302f\u3099\u309a\ua66f-\uaaf6\ufe20-\ufe2f\U00010000-\U0010ffff]")
 _BREAK = re.compile(rf"[\s{MARKS}]")
-_MARKUP = re.compile(r'<a\b[^>]*?\bname="ts_(\d+)_(\d+)[^>]*>|<(?:(/?(?:p|div|li|ul|ol|tr|table|h[1-6]|br|pre)\b)[^>]*|[^>]+)>|\n\s*\n', re.I)
-_RUN = re.compile(rf"[\s{_BLOCK}{_SILENCE}]+")
+_ANCHOR = re.compile(r'<a\s[^>]*?name="ts_(\d+)_(\d+)[^>]*>')
+_BLOCKS = re.compile(r"</?(?:p|div|li|ul|ol|tr|table|h[1-6]|br|pre)\b[^>]*>", re.I)
+_EMPTY_LINES = re.compile(r"\n\s*\n")
+_SIGNS = re.compile(rf"\s*[{_BLOCK}{_SILENCE}][\s{_BLOCK}{_SILENCE}]*")
 
 
-def marked_text(source: str) -> tuple[str, dict[str, list[int]]]:
-    """(text, places): the flat text of an HTML document and where in it blocks end and the anchors' times tell of silence."""
-    text = plain_text(source) or ""
+def marked_text(source: str, text: str | None = None) -> tuple[str, dict[str, list[int]]]:
+    """(text, places): the flat text of an HTML document and where in it blocks end and the anchors' times tell of silence. text: that text, where it is known."""
+    text = (plain_text(source) or "") if text is None else text
     if _BLOCK in source or _SILENCE in source:
         return text, {}
     heard: int | None = None
 
     def mark(m: re.Match) -> str:
         nonlocal heard
-        if m[1]:
-            silent, heard = heard is not None and int(m[1]) - heard >= PAUSE_MS, int(m[2])
-            return _SILENCE if silent else ""
-        return _BLOCK + " " if m[0][0] == "\n" else _BLOCK if m[3] else ""
+        silent, heard = heard is not None and int(m[1]) - heard >= PAUSE_MS, int(m[2])
+        return _SILENCE if silent else ""
 
-    marked = html.unescape(_MARKUP.sub(mark, source))
+    marked = _ANCHOR.sub(mark, source) if 'name="ts_' in source else source
+    marked = html.unescape(TAG.sub("", _BLOCKS.sub(_BLOCK, _EMPTY_LINES.sub(f"{_BLOCK} ", marked))))
     out: list[str] = []
     places: dict[str, list[int]] = {"block": [], "pause": []}
     n = end = 0
-    for m in _RUN.finditer(marked):
-        out.append(marked[end : m.start()])
-        n += m.start() - end
+    for m in _SIGNS.finditer(marked):
+        part = " ".join(marked[end : m.start()].split())
+        out.append(part)
+        n += len(part)
         end = m.end()
-        if n and not m[0].strip(_BLOCK + _SILENCE) == "":
+        if n and m[0].strip(_BLOCK + _SILENCE):
             out.append(" ")
             n += 1
         for sign, name in ((_BLOCK, "block"), (_SILENCE, "pause")):
             if sign in m[0]:
                 places[name].append(n)
-    out.append(marked[end:])
+    out.append(" ".join(marked[end:].split()))
     same = "".join(out).rstrip() == text
     return text, {k: [p for p in v if 0 < p < len(text)] for k, v in places.items()} if same else {}
 
@@ -91,12 +96,17 @@ def bisect(text: str, limit: int, overlap: int, places: dict[str, list[int]] | N
     assert 0 <= overlap < limit
     if len(text) <= limit:
         return [(0, len(text), "start", 0)]
-    at = []
-    for name, pattern in BOUNDARIES:
-        found = [m.end() for m in pattern.finditer(text)] if pattern else []
-        more = (places or {}).get(name)
-        at.append(sorted({*found, *more}) if more else found)
-    slack = min(ACCENTS, (limit - overlap) // 4) if any(map(unicodedata.combining, text)) else 0
+    at: dict[str, list[int]] = {}
+
+    def places_of(name: str, pattern: re.Pattern | None) -> list[int]:
+        """All boundaries of a kind, looked for once and only where no stronger one is found."""
+        if name not in at:
+            found = [m.end() for m in pattern.finditer(text)] if pattern else []
+            more = (places or {}).get(name)
+            at[name] = sorted({*found, *more}) if more else found
+        return at[name]
+
+    slack = min(ACCENTS, (limit - overlap) // 4) if not text.isascii() and _COMBINING.search(text) else 0
     room = limit - overlap - slack
     done: list[tuple[int, str]] = []
     todo = [(0, len(text), "start")]
@@ -108,7 +118,8 @@ def bisect(text: str, limit: int, overlap: int, places: dict[str, list[int]] | N
             continue
         low, middle, high = a + max(1, n // 4), a + n // 2, b - max(1, n // 4)
         cut, cut_kind = middle, "forced"
-        for (name, _), found in zip(BOUNDARIES, at, strict=True):
+        for name, pattern in BOUNDARIES:
+            found = places_of(name, pattern)
             i, j, k = bisect_left(found, low), bisect_right(found, high), bisect_left(found, middle)
             near = [found[x] for x in (k - 1, k) if i <= x < j]
             if near:
@@ -168,7 +179,7 @@ def split_texts(df: DataFrame, keys: list[str], source: Column, limits: list[Lim
         for raw in texts:
             text, places = (plain_text(raw) if is_html else raw) or "", None
             if is_html and len(text) > least:
-                text, places = marked_text(raw)
+                text, places = marked_text(raw, text)
             pieces = []
             for limit_id, capacity, overlap in fixed if text else ():
                 for no, (a, b, kind, run) in enumerate(bisect(text, capacity, overlap, places)):
