@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlatrace.operators.sequence import in_shards
+
 RUNNING = ("audio_conversion", "speaker_identification", "transcription", "canceling")
 PAUSE_OPTIONS = ("none", "1sec+", "2sec+", "3sec+")
 
@@ -120,3 +122,18 @@ def transitions(events: DataFrame, key: str, at: str, status: str) -> DataFrame:
     p, s = F.col("_p"), F.col("_s")
     ok = p.isNull() | (order[s] > order[p]) | (s.isin("error", "canceling") & p.isin(*RUNNING)) | ((p == "canceling") & (s == "canceled")) | ((s == "waiting") & p.isin("finished", "error", "canceled")) | (s == p)
     return rows.groupBy(key).agg(F.max_by("_s", at).alias("state"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("bad_changes"), F.count("*").alias("events"))
+
+
+def appended(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """The queue with new jobs behind those it has: they get the next ordinals in the order of their own, wait, and columns only one side has are null.
+
+    New jobs that would write what a job of the queue writes, as output_conflicts sees it, are not taken.
+    """
+    live = jobs.where(~state().isin("error", "canceled", "canceling") | F.col("status").isNull()).where("transcript_file is not null").select("transcript_file").distinct()
+    last = jobs.agg(F.coalesce(F.max("ordinal"), F.lit(-1))).first()[0]
+    rows = in_shards(new.join(live, "transcript_file", "left_anti"), "ordinal")
+    shards = rows.groupBy("shard").agg(F.count("*").alias("_rows"))  # a row for thousands
+    shards = shards.select("shard", (F.sum("_rows").over(Window.orderBy("shard")) - F.col("_rows")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("shard").orderBy("ordinal")) + F.col("_before")
+    rows = rows.join(shards, "shard").withColumn("ordinal", (rank + last).cast("int")).withColumn("status", F.lit("waiting")).drop("shard", "_before")
+    return jobs.unionByName(rows, allowMissingColumns=True)

@@ -12,7 +12,7 @@ from parlatrace.functions import time as M
 from parlatrace.functions.labels import speaker_of, with_speaker
 from parlatrace.functions.markdown import markdown_to_html
 from parlatrace.functions.names import unique_names
-from parlatrace.operators import files, lookups, paragraphs, queue, silence, throttle, vectors
+from parlatrace.operators import conversations, files, lookups, paragraphs, queue, silence, throttle, vectors
 from parlatrace.operators.attribution import attribute, named_turns, timed_segments
 from parlatrace.operators.periods import periods_and_gaps
 from parlatrace.session import cut, spread
@@ -213,11 +213,35 @@ def document_dates(s, d):
     return t.table(s, d, "documents").select("doc_id", M.document_date(F.col("text"), F.col("source"), "UTC", F.col("added_at").cast("timestamp_ntz")).alias("dated"))
 
 
-def text_chunks(s, d, size: int = 2000, overlap: int = 200):
-    n = F.char_length("text")
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / F.lit(size - overlap))).cast("int"))
-    rows = t.table(s, d, "documents").where(n > 0).select("doc_id", "text", F.explode(at).alias("chunk_no"))
-    return rows.select("doc_id", "chunk_no", F.md5(F.substring(F.col("text"), F.col("chunk_no") * (size - overlap) + 1, F.lit(size))).alias("digest"))
+def text_chunks(s, d):
+    return conversations.chunks(t.table(s, d, "documents"), "doc_id", "text").select("doc_id", F.col("chunk_index").alias("chunk_no"), F.md5("content").alias("digest"))
+
+
+def _conversations(s, d):
+    return conversations.conversations(t.table(s, d, "payloads"), "transcript_html")
+
+
+def conversation_chunks(s, d):
+    whole = _conversations(s, d)
+    pieces = conversations.with_conversation(conversations.chunks(whole, "conversation_id", "transcript"), whole)
+    return pieces.select("conversation_id", "chunk_index", "started_at", "source_tool", F.md5("content").alias("digest"))
+
+
+def conversations_latest(s, d):
+    return conversations.latest_first(_conversations(s, d)).select("conversation_id", "started_at", "duration_s")
+
+
+def queue_appended(s, d):
+    jobs = t.table(s, d, "jobs")
+    again = jobs.where("transcript_file is not null").select("job_id", "ordinal", F.concat("transcript_file", F.when(F.lower(F.trim("status")) == "finished", "").otherwise(".new")).alias("transcript_file"))
+    return queue.appended(jobs.select("job_id", "ordinal", "status", "transcript_file"), again).select("job_id", "ordinal", queue.state().alias("state"), "transcript_file")
+
+
+def dated_names(s, d):
+    """Dates of notes by what they say, by their name, or the given time: a case for each way."""
+    notes = [("Date/Time: 2024-03-05 14:30\nx", "24.01.02 a.md"), ("no date", "24.01.02 a.md"), ("no date", "a.md"), ("Date/Time: 2024-13-45 14:30", "23.12.31 b"), (None, "99.02.30 c"), ("", None)]
+    rows = s.createDataFrame(notes, "text string, name string").withColumn("now", F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    return rows.select("text", "name", M.date_in_text(F.col("text")).alias("said"), M.date_in_name(F.col("name"), "UTC").alias("named"), M.document_date(F.col("text"), F.col("name"), "UTC", F.col("now")).alias("dated"))
 
 
 def untranscribed(s, d):
@@ -275,7 +299,7 @@ def gpu_errors(s, d):
 
 
 def stream_gaps(s, d):
-    return live.run_to_end(live.live_gaps(live.table_stream(s, d, "segments")), "gaps").select("job_id", "seg_no", "gap_ms")
+    return live.run_to_end(live.live_gaps(live.table_stream(s, d, "segments")), "gaps").select("job_id", "seg_no", "gap_ms", "shown")
 
 
 def batch_bursts(s, d):
@@ -303,7 +327,7 @@ QUERIES = {
     for f in (
         pause_gaps, pause_rows, pause_summary, pause_snap, speaker_attribution, speaker_actions, speaker_stats, document_rows, paragraph_texts, vtt_cues, rendered_html, timestamp_throttle, progress_map, progress_throttle,
         queue_summary, next_job, last_finished, running_jobs, output_conflicts, effective_options, option_line, job_summaries, markdown_html, state_changes, job_span, language_codes, speaker_labels, clock_times, file_times, anchor_codec, escaped_texts,
-        html_plain, html_blocks, html_anchors, text_durations, size_durations, document_dates, text_chunks, untranscribed, recordings, first_of_name, payload_outcomes, payload_bodies, output_names, clipped, calendar_match, vector_topk, versions,
+        html_plain, html_blocks, html_anchors, text_durations, size_durations, document_dates, dated_names, text_chunks, conversation_chunks, conversations_latest, queue_appended, untranscribed, recordings, first_of_name, payload_outcomes, payload_bodies, output_names, clipped, calendar_match, vector_topk, versions,
         gpu_errors, stream_gaps, batch_bursts, stream_bursts, p3_found, p3_coverage,
     )
 }

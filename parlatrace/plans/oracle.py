@@ -152,7 +152,17 @@ ORACLE = {
  r as (select *, row_number() over (partition by query_id order by round(c, 9) desc, vec_id) as rank from s) select query_id, vec_id, round(c, 6) as similarity, cast(rank as integer) as rank from r where rank <= 10""",
     "versions": "select * from (values ('0.7', '0.6.2', 1), ('1.2', '1.2.0', 0), ('1.2.3', '1.10', 2), ('2', '10', 2), ('3.0.1', '3.0', 1), ('x', '1', null)) t(a, b, higher)",
     "gpu_errors": f"select message, regexp_matches(lower(message), '{'|'.join(GPU_ERROR_WORDS)}') and not contains(message, '(device_cpu)') as gpu from (values ('CUDA error: out of memory'), ('cublas failed'), ('cuda failed (device_cpu)'), ('file not found'), ('NCCL timeout')) t(message)",
-    "stream_gaps": f"with {SEG}, {GAPS} select job_id, seg_no, s - coalesce(p, 0) as gap_ms from gaps",
+    "stream_gaps": f"""with recursive {SEG}, {GAPS}, x as (select job_id, seg_no, s as v, s - coalesce(p, 0) as gap_ms, row_number() over (partition by job_id order by seg_no) as rn from gaps),
+ {fold("x", "({r}rn = 1 or {r}v - {last} > 60000)", "v")} select job_id, seg_no, gap_ms, passes as shown from fold""",
+    "conversation_chunks": """select payload_id as conversation_id, cast(i as integer) as chunk_index, started_at, source_tool, md5(substring(h, cast(i * 1800 + 1 as bigint), 2000)) as digest
+ from (select payload_id, started_at, source_tool, transcript_html as h, unnest(generate_series(0, cast(greatest(0, ceil((length(transcript_html) - 2000) / 1800.0)) as bigint))) as i from payloads where length(transcript_html) > 0)""",
+    "conversations_latest": "select payload_id as conversation_id, started_at, audio_duration_seconds as duration_s from payloads order by started_at desc nulls last, payload_id",
+    "queue_appended": """with a as (select job_id, ordinal, transcript_file || case when lower(trim(status)) = 'finished' then '' else '.new' end as f from jobs where transcript_file is not null),
+ n as (select job_id, f, row_number() over (order by ordinal) as k from a where f not in (select transcript_file from jobs where transcript_file is not null and coalesce(lower(trim(status)) not in ('error', 'canceled', 'canceling'), true)))
+ select job_id, ordinal, lower(trim(status)) as state, transcript_file from jobs union all select job_id, cast((select max(ordinal) from jobs) + k as integer), 'waiting', f from n""",
+    "dated_names": """select *, coalesce(said, named, timestamp '2025-01-01') as dated from (select text, name, try_strptime(nullif(regexp_extract(text, 'Date/Time: (\\d{4}-\\d{2}-\\d{2} \\d{2}:\\d{2})', 1), ''), '%Y-%m-%d %H:%M') as said,
+ case when regexp_matches(name, '^\\d{2}\\.\\d{2}\\.\\d{2}\\s') then try_strptime('20' || name[1:8] || ' 12:00', '%Y.%m.%d %H:%M') end as named
+ from (values ('Date/Time: 2024-03-05 14:30' || chr(10) || 'x', '24.01.02 a.md'), ('no date', '24.01.02 a.md'), ('no date', 'a.md'), ('Date/Time: 2024-13-45 14:30', '23.12.31 b'), (null, '99.02.30 c'), ('', null)) v(text, name))""",
     "batch_bursts": """with x as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as p from events where user_id is not null and ts is not null), y as (select *, sum(case when p is null or ts >= p + interval 2 hours then 1 else 0 end) over (partition by user_id order by ts) as b from x)
  select user_id, epoch_us(max(ts)) as last_us, count(*) as events from y group by user_id, b""",
 }

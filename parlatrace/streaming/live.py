@@ -88,3 +88,17 @@ def each_alone(handle):
 
     run.failed = failed
     return run
+
+
+def auto_saved(stream: DataFrame, save, seconds: int = 5, at_end: bool = False):
+    """Starts a query that calls save(batch) for what arrived, every `seconds` at most and only if something did; at_end: once for what is there, then ends.
+
+    save gets each row once per batch, and a batch that runs again with the same number: it writes by that number, which is its second argument.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            save(batch, number)
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", scratch(stream.sparkSession, "autosave"))
+    return (writer.trigger(availableNow=True) if at_end else writer.trigger(processingTime=f"{seconds} seconds")).start()
