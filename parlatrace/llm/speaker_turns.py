@@ -76,11 +76,12 @@ def units(df: DataFrame, key: str, source: str) -> DataFrame:
     """
     body = F.regexp_replace(F.col(source), r"(?is)^.*?<body\b[^>]*>", "")
     english = F.coalesce(F.nullif(F.regexp_extract(F.col(source), r"\(Language [^()|]*\((\w+)\)", 1), F.lit("")) == "en", F.lit(True))
-    docs = df.where(F.col(key).isNotNull() & F.col(source).isNotNull()).select(F.col(key), body.alias("_body"), english.alias("english"))
-    anchored = F.contains("_body", F.lit('name="ts_'))
+    whole = df.where(F.col(key).isNotNull() & F.col(source).isNotNull())
+    # told by the source as it is stored, so that the rest is worked out once, on the side it belongs to
+    anchored = F.contains(source, F.lit('name="ts_'))
 
     found = F.regexp_extract_all("_body", F.lit(r'(?s)<a\b[^>]*\bname="ts_[^"]*"[^>]*>.*?</a>'), 0)
-    by_anchor = docs.where(anchored).select(key, "english", F.posexplode(found).alias("position", "_a"))
+    by_anchor = whole.where(anchored).select(key, body.alias("_body"), english.alias("english")).select(key, "english", F.posexplode(found).alias("position", "_a"))
     name = F.split(F.regexp_extract("_a", r'name="ts_([^"]*)"', 1), "_", 3)
     by_anchor = by_anchor.select(
         key, "position", "english", F.get(name, F.lit(0)).try_cast("bigint").alias("start_ms"), html_unescape(F.coalesce(F.get(name, F.lit(2)), F.lit(""))).alias("label"),
@@ -89,7 +90,7 @@ def units(df: DataFrame, key: str, source: str) -> DataFrame:
     spoken = F.regexp_replace(F.regexp_replace("_t", _SHOWN_TIME, " "), _SPOKEN_LABEL, "")
     by_anchor = _once(by_anchor.select(key, "position", "start_ms", "label", spoken.alias("text"), "english"), key)
 
-    blocks = docs.where(~anchored).select(key, "english", F.posexplode(F.split("_body", _BLOCK)).alias("position", "_b"))
+    blocks = whole.where(~anchored).select(key, body.alias("_body"), english.alias("english")).select(key, "english", F.posexplode(F.split("_body", _BLOCK)).alias("position", "_b"))
     flat = html_unescape(F.regexp_replace(F.regexp_replace("_b", _CELL, _SEP), r"<[^>]*>", ""))
     blocks = blocks.select(key, "position", "english", flat.alias("_t")).where(F.col("_t").rlike(rf"[^\s{_SEP}]"))
     timed = F.regexp_extract("_t", _HEAD, 2)

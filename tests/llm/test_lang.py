@@ -141,7 +141,7 @@ def test_unseen_mixed_texts(full_model):
     pairs = [(a, b, " ".join(PLAIN[a][:2]) + " ", " ".join(PLAIN[b][2:])) for a in PLAIN for b in PLAIN if a != b]
     got = stretches([first + second for _, _, first, second in pairs], full_model, Vocabulary())
     right = sum([(x[0], x[1]) for x in found] == [(0, a), (len(first), b)] for (a, b, first, _), found in zip(pairs, got, strict=True))
-    assert right >= 0.8 * len(pairs), right / len(pairs)
+    assert right >= 0.9 * len(pairs), right / len(pairs)
 
 
 def test_other_languages_are_rejected(full_model):
