@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,35 @@ def test_unique_names_run_out(spark):
         spark.createDataFrame([(["a.txt"] * 5,)], "w array<string>").select(unique_names(F.col("w"), F.expr("cast(array() as array<string>)"), tries=3)).collect()
 
 
+def in_order(wanted, existing):
+    """The plain reading of unique_names."""
+    given, taken = [], set(existing)
+    for path in wanted:
+        stem, dot, suffix = path.rpartition(".")
+        names = (path if i == 0 else f"{stem}_{i}{dot}{suffix}" for i in range(1000))
+        given.append(next(n for n in names if n not in taken))
+        taken.add(given[-1])
+    return given
+
+
+def test_unique_names_of_a_full_day(spark):
+    wanted = [f"/out/{i}.txt" for i in range(500)] + ["/out/a.txt", "/out/a_1.txt", "/out/7.txt", "/out/7_1.txt"] * 125
+    df = spark.createDataFrame([(wanted, ["/out/a_3.txt"])], "w array<string>, e array<string>").select(unique_names(F.col("w"), F.col("e")))
+    began = time.monotonic()
+    given = df.first()[0]
+    took = time.monotonic() - began
+    assert given == in_order(wanted, ["/out/a_3.txt"])
+    assert took < 20
+
+
+def test_unique_names_of_nulls(spark):
+    rows = [(["a.txt"], ["a.txt", None]), (None, ["a.txt"]), (["a.txt"], None)]
+    df = spark.createDataFrame(rows, "w array<string>, e array<string>").select(unique_names(F.col("w"), F.col("e")))
+    assert [r[0] for r in df.collect()] == [["a_1.txt"], None, None]
+    with pytest.raises(Exception, match="no free name"):
+        spark.createDataFrame([([None], [])], "w array<string>, e array<string>").select(unique_names(F.col("w"), F.col("e"))).collect()
+
+
 def test_html(spark):
     assert one(spark, H.html_unescape, "string", "&lt;b&gt; &amp;amp; &#x27;&eacute;&nbsp;", "", None) == ["<b> &amp; 'é ", "", None]
     assert one(spark, H.html_to_plain, "string", "<p>a&nbsp;<b>b</b>\n c&lt;d</p>", "", None) == ["a b c<d", "", None]
